@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitile.llm.langid import LanguageModel, fit_table, segment_languages
 from lexitile.llm.packing import pack
+from lexitile.llm.pairs import pair_defects
 from lexitile.llm.splitting import split_items
 from lexitile.llm.tokenizer import DEFAULT_RANKS, encode_corpus
 from lexitile.sources.tables import table
@@ -17,6 +19,27 @@ def limits(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    """Fitted on the reference texts and a bounded sample of source texts, whose language is reliable."""
+    samples = table(spark, sf_dir, "lang_samples").select("lang", F.col("sample_text").alias("text"))
+    sources = table(spark, sf_dir, "recovered_pairs").select(F.col("src_lang").alias("lang"), F.col("src_text").alias("text"))
+    return fit_table(samples, sources)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment_languages(table(spark, sf_dir, "recovered_pairs"), language_model(spark, sf_dir), "pair_id", "tgt_text", "tgt_lang", only_doubtful=True)
+    return found.select("pair_id", "seg_no", "lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every text and stretch."""
+    return segment_languages(table(spark, sf_dir, "recovered_pairs"), language_model(spark, sf_dir), "pair_id", "tgt_text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(table(spark, sf_dir, "recovered_pairs"), language_model(spark, sf_dir), "pair_id")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "typst_chunks"), "chunk_id", "content", *limits(spark, sf_dir, "typst_chunk"), range_col="byte_range")
 
@@ -34,7 +57,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", limits(spark, sf_dir, "document")[0])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_pieces, p3_found, p6_ids, p7_containers)}
 
 ORACLES = {
     "p2_found": r"""

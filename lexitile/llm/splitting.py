@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 PENALTY = {"paragraph": 0.0, "line": 0.2, "sentence": 0.5, "word": 2.0, "forced": 50.0}
 KINDS = list(PENALTY)
 BALANCE = 4.0
+#: Characters between the positions tried inside a run without boundaries.
+GRID = 8
 _GAP = re.compile(r"\s+")
 _PARA = re.compile(r"\n[^\S\n]*\n|\r[^\S\r\n]*\r|\r\n[^\S\r\n]*\r\n")
 
@@ -57,40 +59,47 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
         return [(0, n, "end")]
     at, kind = boundaries(text)
     known = dict(zip(at, kind))
-    edge = 0
+    edge, grid = 0, min(GRID, max(1, reach // 4))
     for nxt in [*at, n]:  # gaps wider than a step need cuts inside
         if nxt - edge > reach:
-            for p in range(edge + 1, nxt):
-                if not ("̀" <= text[p] <= "ͯ" or (text[p] == "\n" and text[p - 1] == "\r")):
+            for p in range(edge + grid, nxt, grid):
+                while p < nxt and ("\u0300" <= text[p] <= "\u036f" or (text[p] == "\n" and text[p - 1] == "\r")):
+                    p += 1
+                if p < nxt:
                     known.setdefault(p, 4)
         edge = nxt
     pos = np.array(sorted(known), dtype=np.int64)
     kinds = np.array([known[p] for p in pos.tolist()])
     cost = np.array([PENALTY[k] for k in KINDS])[kinds]
     even = overlap + (n - overlap) / -(-(n - overlap) // reach)
-    best = np.full(len(pos) + 1, np.inf)
-    back = np.full(len(pos) + 1, -1, dtype=np.int64)
+    # (e - (p - overlap) - even)² = c² - 2cp + p² with c = e + overlap - even: p² joins the cost so far, one product and one minimum are left.
     ends = np.append(pos, n)
-    step = np.append(cost, 0.0)
-    for j, e in enumerate(ends.tolist()):
-        if e <= max_size:
-            best[j] = step[j] + BALANCE * ((e - even) / max_size) ** 2
-        lo = int(np.searchsorted(pos, e - reach))
-        hi = int(np.searchsorted(pos, e - 1, side="right"))
-        lo = max(lo, int(np.searchsorted(pos, overlap, side="right")))
-        if lo < hi:
-            total = best[lo:hi] + step[j] + BALANCE * ((e - (pos[lo:hi] - overlap) - even) / max_size) ** 2
-            i = int(np.argmin(total))
-            if total[i] < best[j]:
-                best[j], back[j] = total[i], lo + i
-    if not np.isfinite(best[-1]):  # only marks that must not be torn: cut by length
+    q, c = pos / max_size, (ends + overlap - even) / max_size
+    lows = np.maximum(np.searchsorted(pos, ends - reach), np.searchsorted(pos, overlap, side="right")).tolist()
+    first = np.where(ends <= max_size, BALANCE * ((ends - even) / max_size) ** 2, np.inf).tolist()
+    step, square = np.append(cost, 0.0).tolist(), (BALANCE * c * c).tolist()
+    twice, own = (2 * BALANCE * c).tolist(), (BALANCE * q * q).tolist()
+    sofar = np.full(len(pos), np.inf)
+    back = [-1] * (len(pos) + 1)
+    total = np.inf
+    for j, lo in enumerate(lows):
+        total = first[j]
+        if lo < j:
+            w = sofar[lo:j] - twice[j] * q[lo:j]
+            i = int(w.argmin())
+            if (other := float(w[i]) + square[j]) < total:
+                total, back[j] = other, lo + i
+        total += step[j]
+        if j < len(pos):
+            sofar[j] = total + own[j]
+    if not np.isfinite(total):  # only marks that must not be torn: cut by length
         cuts = list(range(max_size, n, reach))
         spans = [0, *[c - overlap for c in cuts]]
         return [(s, min(n, s + max_size), "forced" if s + max_size < n else "end") for s in spans if s < n]
     chain, j = [], len(pos)
     while j >= 0:
         chain.append(j)
-        j = int(back[j])
+        j = back[j]
     out, start = [], 0
     for j in reversed(chain):
         end = int(ends[j])

@@ -17,15 +17,15 @@ MARKUP = re.compile(
     r"|https?://\S+"
     r"|\\(?:begin|end|label|cite|ref|eqref|autoref|includegraphics|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^}\n]*\}?"
     r"|^[ \t]*%[^\n]*|^[ \t]*//[^\n]*"
-    r"|^\([\w:.-]+\)=[ \t]*$|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?[^\S\n]*|</?[A-Za-z][^<>\n]{0,80}>|\[@[^\]\n]*\]|@[\w:-]+"
+    r"|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?[^\S\n]*|</?[A-Za-z][^<>\n]{0,80}(?:>|\Z)|\[@[^\]\n]*\]|@[\w:-]+"
     r"|#(?:block|align|box|emph|strong|figure|quote)\b(?:\([^)\n]*\))?|#[a-z][\w.]*\([^)\n]*\)"
     r"|^[ \t]*(?:[-+*]|\d+[.)]|={1,6}|\#{1,6})[ \t]+|\\[A-Za-z]+\*?"
-    r"|“[A-Za-z]*\d+”|[{}\[\]|#>~^_*\\]+",
+    r"|“[A-Za-z]*\d+”|[{}\[\]|#>~^_*]|\\(?![A-Za-z])",
     re.S | re.M,
 )
 WORD = re.compile(r"[^\W\d_]+(?:[’'՚՛՜՞][^\W\d_]+)*")
 #: Ends of sentences: the usual marks, the Armenian full stop, line ends.
-SENTENCE_END = re.compile(r"(?<=[.!?…։])[”\"»)]*\s+|(?<=:)\s+|\n+")
+SENTENCE_END = re.compile(r"(?<=[.!?…։])[”\"»)]*\s+|(?<=:)\s+|\n+|\s[/|]\s|;\s")
 
 
 def blank_markup(text: str | None) -> str:
@@ -50,3 +50,17 @@ def prose_sentences(text: str | None) -> list[list[str]]:
             if words and is_prose(words):
                 out.append(words)
     return out
+
+
+#: Marks around content: like MARKUP, but code and math between them count as content.
+MARKS = re.compile(
+    r"```[\w-]*|\\(?:begin|end|label|noindent|item|section|subsection|caption)\*?(?:\[[^\]\n]*\])?(?:\{[\w:.*-]*\})?"
+    r"|^[ \t]*%[^\n]*|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?|</?[A-Za-z][^<>\n]{0,80}>"
+    r"|#(?:block|align|box|emph|strong|figure|quote)\b(?:\([^)\n]*\))?|#h\([^)\n]*\)",
+    re.M,
+)
+
+
+def holds_content(text: str | None) -> bool:
+    """Any letter or digit besides tags, fences, labels and other marks."""
+    return bool(text) and any(c.isalnum() for c in MARKS.sub(" ", text))
