@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitile.llm.alignment import align_files
 from lexitile.llm.langid import LanguageModel, fit_table, segment_languages
 from lexitile.llm.packing import pack
 from lexitile.llm.pairs import pair_defects
@@ -48,6 +49,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id", F.col("item_cut").alias("cut"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_files(table(spark, sf_dir, "file_pairs"), "file_pair_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), ranks_path=DEFAULT_RANKS)
 
@@ -57,7 +62,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", limits(spark, sf_dir, "document")[0])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_pieces, p3_found, p6_ids, p7_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_pieces, p3_found, p4_found, p6_ids, p7_containers)}
 
 ORACLES = {
     "p2_found": r"""
