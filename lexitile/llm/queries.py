@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitile.llm.alignment import align_files
+from lexitile.llm.encoding import find_garbled, restore_documents
 from lexitile.llm.langid import LanguageModel, fit_table, segment_languages
 from lexitile.llm.packing import pack
 from lexitile.llm.pairs import pair_defects
@@ -62,7 +63,15 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", limits(spark, sf_dir, "document")[0])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_pieces, p3_found, p4_found, p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_pieces, p3_found, p4_found, p6_ids, p7_containers, p8_found, p8_restored)}
 
 ORACLES = {
     "p2_found": r"""
