@@ -30,9 +30,9 @@ from lexitile.sources.tables import ensure_checkpoint_dir
 TOKEN = re.compile(r"\d+(?:[.,]\d+)?|[^\W\d_]+(?:[’'՛][^\W\d_]+)*|^=+|^#+")
 IDENT = re.compile(r"[A-Za-z]+_?\d+|\d+(?:[.,]\d+)?")
 #: Most frequent words of a language that get translation probabilities; rarer words weigh as unknown in every state.
-MAX_WORDS = 20_000
+MAX_WORDS = 5_000
 #: Translations kept for a word.
-MAX_TRANSLATIONS = 24
+MAX_TRANSLATIONS = 12
 MIN_P = 0.01
 LEXICAL = 0.9
 NUMBER_FOUND, NUMBER_LOST = 2.5, -7.0

@@ -196,6 +196,9 @@ def restore_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_restored", T.LongType()), T.StructField("n_left", T.LongType())])
     token = re.compile(f"({SPAN})|([^\\x00-\\x2f\\x3a-\\x3e\\x40\\x5b-\\x60\\x7b-\\x7f]+)")
 
+    # A word of accented Latin letters alone that turns back into another script is garbled, though its letters are clean.
+    foreign, native = re.compile(r"[À-ÿŒœŸ«»§°·¿¡’]{2,}"), re.compile(f"[{CYRILLIC}{ARMENIAN}]")
+
     def substitute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, done, left = [], [], []
@@ -208,9 +211,10 @@ def restore_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if w is None or w.isascii() and w not in words:
                         return m.group()
                     o = words.get(w)
-                    if o is None and is_odd(w):
-                        o = next((x for x in (turn_back(w, c) for c in lossless) if x is not None and not is_odd(x)), None)
-                        if o is None:
+                    if o is None and (is_odd(w) or foreign.fullmatch(w)):
+                        back = (turn_back(w, c) for c in lossless)
+                        o = next((x for x in back if x is not None and not is_odd(x) and (is_odd(w) or native.search(x))), None)
+                        if o is None and is_odd(w):
                             n[1] += 1
                     if o is None:
                         return w
