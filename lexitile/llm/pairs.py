@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexitile.llm.langid import LanguageModel, label_column, sentence_languages
-from lexitile.llm.texts import WORD, blank_markup, holds_content, prose_sentences
+from lexitile.llm.texts import WORD, blank_markup, blank_sentences, holds_content
 from lexitile.sources.tables import ensure_checkpoint_dir
 
 #: How a responder declines, in the first person or by naming itself, by language.
@@ -39,6 +39,12 @@ REFUSAL = re.compile(
     r"|ես (?:չեմ կարող|ի վիճակի|ստիպված)|չեմ կարող|ի վիճակի չեմ|ստիպված եմ|թող թարգմանի մարդը|լեզվական մոդել|\bիմ (?:կանոն|ուղեցույց)",
     re.I,
 )
+#: What every match of REFUSAL holds one of, in lower case.
+HINTS = (
+    " i ", "i'm", "i’m", "i can", "i am", "i do", "i won", "i must", "i have", "i was", "i will", "i decline", "i refuse", "my ", "human translator", "what i", "something i", "nothing will", "language model",
+    "ich ", "mein", "sprachmodell", "ein mensch", "menschlich", "nicht in der lage", "je ", "m’est", "m'est", "mes ", "modèle de langue", "traducteur", "me permettent", "no me ", "no puedo", "no estoy", "no soy",
+    "mis ", "modelo de l", "persona traduzca", "traductor", "debo ", "me veo", "я ", "мої ", "мовна модель", "довірити", "не можу", "ես ", "չեմ կարող", "ի վիճակի", "ստիպված", "թող թարգմանի", "լեզվական մոդել", "իմ ",
+)
 #: Ends of sentences.
 CLOSED = set(".!?։…:;)]\"”»’'")
 CUT_TAG = re.compile(r"</?[A-Za-z]{0,12}\Z")
@@ -46,9 +52,14 @@ ELLIPSIS = re.compile(r"(?:\.\.\.|…)\s*\Z")
 MARK_END = re.compile(r"[\s{}\]>]*\Z")
 
 
-def last_mark(text: str) -> str:
-    """The last sign of the text besides markup."""
-    bare = blank_markup(text).rstrip()
+def declines(text: str) -> bool:
+    low = text.lower()
+    return (low.startswith("i ") or any(h in low for h in HINTS)) and bool(REFUSAL.search(text))
+
+
+def last_mark(blank: str) -> str:
+    """The last sign of a text whose markup is blanked."""
+    bare = blank.rstrip()
     return bare[-1] if bare else ""
 
 
@@ -60,10 +71,10 @@ def overlap(a: list[list[str]], b: list[list[str]]) -> float:
 
 def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None, str | None, str | None]]) -> Iterator[tuple[str | None, bool, str]]:
     """For ``(src_text, tgt_text, src_lang, label)``: the defect by rules, whether shortening is in doubt, the last word."""
-    src = [prose_sentences(r[0]) for r in rows]
-    tgt = [prose_sentences(r[1]) for r in rows]
+    blank_s, blank_t = [blank_markup(r[0]) for r in rows], [blank_markup(r[1]) for r in rows]
+    src, tgt = [blank_sentences(b) for b in blank_s], [blank_sentences(b) for b in blank_t]
     langs, _ = sentence_languages(model, tgt)
-    for (s_text, t_text, s_lang, label), s, t, ls in zip(rows, src, tgt, langs):
+    for (s_text, t_text, s_lang, label), s, t, ls, s_blank, t_blank in zip(rows, src, tgt, langs, blank_s, blank_t):
         names = [model.langs[x] for x in ls]
         if not s_text or not any(c.isalnum() for c in s_text):
             yield None, False, ""
@@ -71,11 +82,10 @@ def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None,
         if not t_text or not t_text.strip() or (not holds_content(t_text) and t_text.split() != s_text.split()):
             yield "empty", False, ""
             continue
-        refusal = REFUSAL.search(t_text)
-        if refusal and not REFUSAL.search(s_text):
+        if declines(t_text) and not REFUSAL.search(s_text):
             yield "refusal", False, ""
             continue
-        if s and t and label != s_lang and overlap(s, t) >= 0.6 and sum(len(x) for x, n in zip(t, names) if n == s_lang) >= 0.8 * sum(map(len, t)):
+        if s and t and label != s_lang and s_lang in names and sum(len(x) for x, n in zip(t, names) if n == s_lang) >= 0.8 * sum(map(len, t)) and overlap(s, t) >= 0.6:
             yield "copy", False, ""
             continue
         if label is not None and t and label not in names and sum(map(len, t)) > 1:
@@ -84,13 +94,13 @@ def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None,
         if not s:
             yield None, False, ""
             continue
-        end_s, end_t = last_mark(s_text), last_mark(t_text)
+        end_s, end_t = last_mark(s_blank), last_mark(t_blank)
         dots = ELLIPSIS.search(t_text) and not ELLIPSIS.search(s_text)
         tag = CUT_TAG.search(t_text) and not CUT_TAG.search(s_text)
         if dots or tag or (end_s in CLOSED and end_t not in CLOSED) or len(t) < len(s) or not t:
             yield "truncated", False, ""
             continue
-        words = WORD.findall(blank_markup(t_text))
+        words = WORD.findall(t_blank) if end_t.isalpha() else []
         yield None, end_t.isalpha(), words[-1].lower() if words else ""
 
 
@@ -159,7 +169,7 @@ def cut_words(pairs: DataFrame, doubtful: DataFrame, rare: int = 200, common: in
     """
     ended = F.concat(F.lower("tgt"), F.lit("\n"))
     words = pairs.select(F.explode(F.regexp_extract_all(ended, F.lit(r"\p{L}+(?:[’']\p{L}+)*(?: ?[.!?։:;\n<{}])?"), F.lit(0))).alias("w"))
-    counts = words.groupBy(F.regexp_extract("w", r"^[\p{L}’']+", 0).alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("w").rlike(r"[^\p{L}’']$")).alias("n_end"))
+    counts = words.groupBy(F.regexp_extract("w", r"^[\p{L}’']+", 0).alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("w").rlike(r"[^\p{L}’']$")).alias("n_end")).checkpoint()  # one row a word, read twice
     asked = doubtful.select(F.col("last_word").alias("word")).where("word != ''").distinct()
     prefixes = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))
     longer = counts.where(F.length("word") > 1).select(F.explode(prefixes).alias("word"), F.col("n").alias("m"))

@@ -43,8 +43,13 @@ def is_prose(words: list[str]) -> bool:
 
 def prose_sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence that holds prose, in text order."""
+    return blank_sentences(blank_markup(text))
+
+
+def blank_sentences(blank: str) -> list[list[str]]:
+    """As ``prose_sentences``, of a text whose markup is blanked already."""
     out = []
-    for part in SENTENCE_END.split(blank_markup(text)):
+    for part in SENTENCE_END.split(blank):
         if part:
             words = WORD.findall(part)
             if words and is_prose(words):
