@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitile.functions.markup import segment
-from lexitile.functions.text import EXAMPLE_PROMPT, TOKENS, UNIT_PROMPT
+from lexitile.functions.text import EXAMPLE_PROMPT, PLAIN_PROMPT, TOKENS, UNIT_PROMPT
 from lexitile.functions.units import build, placeholder_only, reconstruct
 from lexitile.operators.chunking import long_pieces
 
@@ -122,7 +122,7 @@ def translate_snapshot(chunks: DataFrame, memory: DataFrame, ladder: Ladder, ter
     path '' for any path. Each distinct request is translated once; the answers join back by its checksum.
     """
     key = ["path", "src_lang", "tgt_lang", "sum"]
-    c = chunks.select("*", F.sha2("content", 256).alias("sum"))
+    c = chunks.withColumn("path", F.coalesce("path", F.lit(""))).withColumn("sum", F.sha2("content", 256))
     m = memory.select("path", "src_lang", "tgt_lang", F.sha2("content", 256).alias("sum"), "translated").groupBy(*key).agg(F.min("translated").alias("known"))
     anywhere = m.where("path = ''").select("src_lang", "tgt_lang", "sum", F.col("known").alias("wild"))
     c = c.join(m, key, "left").join(anywhere, ["src_lang", "tgt_lang", "sum"], "left").withColumn("known", F.when(F.col("src_lang") != F.col("tgt_lang"), F.coalesce("known", "wild"))).drop("wild")
@@ -147,6 +147,38 @@ def translate_snapshot(chunks: DataFrame, memory: DataFrame, ladder: Ladder, ter
     return full.select("chunk_id", F.coalesce("known", "answer").alias("translated"), status.isin("cached", "passed").alias("from_cache"), status.alias("status"))
 
 
+def translate_plain(docs: DataFrame, id_col: str, text_col: str, ladder: Ladder, source: str | None, target: str, terms: str = "", lines: int = 50) -> DataFrame:
+    """``id_col, translated, status`` of documents without markup: blocks of lines with the plain prompt, blank blocks kept, no memory.
+
+    A failed block fails the document, which keeps its text; NULL texts have status 'null'.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def one(text: str) -> str:
+        rows = text.splitlines(keepends=True)
+        blocks = ["".join(rows[i : i + lines]) for i in range(0, len(rows), lines)] if lines > 0 else [text]
+        out = []
+        for b in blocks:
+            prompt = PLAIN_PROMPT.replace(TOKENS["content_type"], "document")
+            if source:
+                prompt = prompt.replace(TOKENS["source"], source)
+            prompt = prompt.replace(TOKENS["target"], target).replace(TOKENS["vocabulary"], terms)
+            out.append(reply_text(ladder.patient(ladder.model, f"{prompt}\n<document>\n{b}\n</document>")) if b.strip() else b)
+        return "".join(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, text in zip(b["id"], b["text"]):
+                try:
+                    rows.append((i, one(text), "translated") if text is not None else (i, None, "null"))
+                except Exception:  # noqa: BLE001
+                    rows.append((i, text, "failed"))
+            yield pd.DataFrame(rows, columns=[id_col, "translated", "status"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"{id_col} {kind}, translated string, status string")
+
+
 @dataclass
 class FileMemory:
     """Memory of one file during a sequential run: sources by language, pairs by languages and checksum."""

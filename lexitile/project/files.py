@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from lexitile.functions.keys import content_checksum
 from lexitile.functions.text import compile_cells, parse_metadata, split_cells
 from lexitile.operators.chunking import chunk_documents
-from lexitile.operators.translation import Ladder, translate_sequential
+from lexitile.operators.translation import Ladder, translate_plain, translate_sequential
 from lexitile.project import FOLDER, Project, ProjectError
-from lexitile.sources.files import text_files, write_files
+from lexitile.sources.files import REVIEW_TAGS, notebook_cells, notebook_with, text_files, write_files
 
 MEMORY = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "src_lang", "tgt_lang", "content", "translated")] + [T.StructField("seq", T.LongType())])
 KIND = {"latex": "latex", "markdown": "myst", "typst": "typst"}
@@ -59,32 +59,43 @@ def sources(spark: SparkSession, p: Project, only: str | None = None) -> DataFra
     return text_files(spark, str(p.root / base)).where(F.col("rel_path").isin([only] if only else names))
 
 
+def _cells(files: DataFrame) -> DataFrame:
+    """``rel_path, ordinal, kind, content, type`` of all chunked files: notebooks by their cells, others by their chunker."""
+    kinds = F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv])
+    chunked = chunk_documents(files.select("rel_path", "content", kinds[F.col("doc_type")].alias("kind")), "rel_path", "content", "kind").drop("kind")
+    plain = chunked.join(files.select("rel_path", kinds[F.col("doc_type")].alias("type")), "rel_path").select("rel_path", "ordinal", F.col("type").alias("kind"), "content", "type")
+    books = files.where("doc_type = 'jupyter'").select("rel_path", F.posexplode(notebook_cells(F.col("content"))).alias("ordinal", "c"))
+    kind = F.when(F.col("c.cell_type") == "markdown", "myst").otherwise("code")
+    return plain.unionByName(books.select("rel_path", "ordinal", kind.alias("kind"), F.col("c.source").alias("content"), F.lit("jupyter").alias("type")))
+
+
 def translate(spark: SparkSession, p: Project, lang: str, ladder: Ladder, terms: str = "", only: str | None = None) -> DataFrame:
     """Translates files into a language and writes them with the metadata of each chunk; ``rel_path, status, n`` counts."""
     out, src = p.target(lang), p.config.source["lang"]
     files = sources(spark, p, only)
-    kinds = F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv])
-    cells = chunk_documents(files.select("rel_path", "content", kinds[F.col("doc_type")].alias("kind")), "rel_path", "content", "kind")
-    kind = files.select("rel_path", kinds[F.col("doc_type")].alias("type"))
-    c = cells.drop("kind").join(kind, "rel_path").select(F.struct("rel_path", "ordinal").alias("place"), F.col("rel_path").alias("path"), "ordinal", "content", F.col("type").alias("kind"), F.lit(src).alias("src_lang"), F.lit(lang).alias("tgt_lang"))
+    c = _cells(files).select(F.col("rel_path").alias("path"), "ordinal", "content", "kind", "type", F.lit(src).alias("src_lang"), F.lit(lang).alias("tgt_lang"))
     c = c.withColumn("chunk_id", F.concat_ws("\x1f", "path", "ordinal"))
-    done = translate_sequential(c, memory(spark, p).drop("seq"), ladder, terms).join(c.select("chunk_id", "path", "ordinal", "content", "kind", "src_lang", "tgt_lang"), "chunk_id").persist()
+    done = translate_sequential(c, memory(spark, p).drop("seq"), ladder, terms).join(c.select("chunk_id", "path", "ordinal", "content", "type", "src_lang", "tgt_lang"), "chunk_id").persist()
     meta = F.map_from_arrays(F.array(F.lit("src_checksum"), F.lit("needs_review")), F.array(content_checksum(F.col("content")), F.when(F.col("status") == "translated", "True").otherwise("False")))
-    whole = done.groupBy("path", "kind").agg(F.array_sort(F.collect_list(F.struct("ordinal", meta.alias("meta"), F.col("translated").alias("source")))).alias("cells"))
-    text = F.when(F.col("kind") == "latex", compile_cells("latex", F.col("cells"))).when(F.col("kind") == "myst", compile_cells("myst", F.col("cells"))).otherwise(compile_cells("typst", F.col("cells")))
-    write_files(whole.select(F.col("path").alias("rel_path"), text.alias("content")), str(out))
-    counts = done.groupBy(F.col("path").alias("rel_path"), "status").count()
+    flag = F.when(F.col("status") == "translated", REVIEW_TAGS[0]).when(F.col("status") == "failed", REVIEW_TAGS[1]).otherwise("")
+    whole = done.groupBy("path", "type").agg(F.array_sort(F.collect_list(F.struct("ordinal", meta.alias("meta"), F.col("translated").alias("source"), flag.alias("flag"))), lambda a, b: a["ordinal"] - b["ordinal"]).alias("cells"))
+    text = F.when(F.col("type") == "latex", compile_cells("latex", F.col("cells"))).when(F.col("type") == "myst", compile_cells("myst", F.col("cells"))).otherwise(compile_cells("typst", F.col("cells")))
+    write_files(whole.where("type != 'jupyter'").select(F.col("path").alias("rel_path"), text.alias("content")), str(out))
+    books = whole.where("type = 'jupyter'").join(files.select(F.col("rel_path").alias("path"), "content"), "path")
+    write_files(books.select(F.col("path").alias("rel_path"), notebook_with(F.col("content"), F.col("cells.source"), F.col("cells.flag")).alias("content")), str(out))
+    other = translate_plain(files.where("doc_type = 'other'"), "rel_path", "content", ladder, src, lang, terms).persist()
+    write_files(other.where("status = 'translated'").select("rel_path", F.col("translated").alias("content")), str(out))
+    counts = done.groupBy(F.col("path").alias("rel_path"), "status").count().unionByName(other.groupBy("rel_path", "status").count())
     rows = [tuple(r) for r in counts.collect()]  # one row a file and status
-    save_memory(spark, p, done.where("status in ('translated', 'passed')").select("path", "src_lang", "tgt_lang", "content", "translated", F.col("ordinal").cast("bigint").alias("seq")))
+    save_memory(spark, p, done.where("status in ('translated', 'passed') and content is not null").select("path", "src_lang", "tgt_lang", "content", "translated", F.col("ordinal").cast("bigint").alias("seq")))
     done.unpersist()
+    other.unpersist()
     return spark.createDataFrame(rows, "rel_path string, status string, n bigint")
 
 
 def recovered(spark: SparkSession, p: Project, lang: str) -> DataFrame:
     """``path, content, translated, ordinal``: target cells joined with the first source chunk of their checksum."""
-    files = sources(spark, p)
-    kinds = F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv])
-    cells = chunk_documents(files.select("rel_path", "content", kinds[F.col("doc_type")].alias("kind")), "rel_path", "content", "kind")
+    cells = _cells(sources(spark, p))
     first = cells.groupBy("rel_path", content_checksum(F.col("content")).alias("sum")).agg(F.min(F.struct("ordinal", "content"))["content"].alias("content"))
     targets = text_files(spark, str(p.target(lang)))
     out = None

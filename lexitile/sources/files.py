@@ -6,12 +6,17 @@ the path column count as legacy rows with the wildcard path; cells that are miss
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitile.functions.keys import document_type
 
-CELL = "array<struct<cell_type:string,source:variant,metadata:variant>>"
+#: Tags of cells that need a look.
+REVIEW_TAGS = ("needs_review", "not-translated-due-to-exception")
 
 
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -41,6 +46,34 @@ def notebook_cells(content: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(c["cell_type"].alias("cell_type"), joined(c["source"]).alias("source")))
 
 
+def notebook_with(content: Column, sources: Column, flags: Column) -> Column:
+    """The notebook with new cell sources and review tags in order; all other keys of notebook, cells and metadata stay.
+
+    ``sources`` and ``flags`` have an entry a cell; a NULL source leaves the cell as it is, an empty flag takes the review tag away.
+    """
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series, sources: pd.Series, flags: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else fill_notebook(c, list(s), list(f)) for c, s, f in zip(content, sources, flags)])
+
+    return run(content, sources, flags)
+
+
+def fill_notebook(content: str, sources: list[str | None], flags: list[str]) -> str:
+    nb = json.loads(content)
+    for cell, source, flag in zip(nb.get("cells", []), sources, flags):
+        if source is None:
+            continue
+        old = "".join(cell["source"]) if isinstance(cell.get("source"), list) else cell.get("source", "")
+        meta = cell.setdefault("metadata", {})
+        meta["src_checksum"] = hashlib.sha256(old.encode("utf-8")).hexdigest()
+        tags = [t for t in meta.get("tags", []) if t not in REVIEW_TAGS] + ([flag] if flag else [])
+        if tags or "tags" in meta:
+            meta["tags"] = tags
+        cell["source"] = source.splitlines(keepends=True) if isinstance(cell.get("source"), list) else source
+    return json.dumps(nb, ensure_ascii=False, indent=1)
+
+
 def read_correspondence(spark: SparkSession, path: str) -> DataFrame:
     """Wide correspondence CSV with ``row_id`` in file order; the path column is added if the file lacks it."""
     df = spark.read.option("header", "true").option("multiLine", "true").csv(path)
