@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexitile.functions.keys import content_checksum, is_blank
 from lexitile.functions.text import BLOCKS, compile_cells, metadata_block, parse_metadata, py_strip, split_cells
 from lexitile.operators import chunking as C
-from lexitile.sources.tables import table
+from lexitile.sources.tables import spread, table
 
 LIMIT = 2000
 #: Inline stretches of the SQL-expressible segmenter: math and code spans are placeholders.
@@ -17,7 +17,7 @@ INLINE = r"\$[^$\n]+\$|`[^`\n]+`|[^$`]+|[$`]"
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("doc_type").isin("markdown", "jupyter"), "myst").otherwise(F.col("doc_type"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "text", kind.alias("kind"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text", kind.alias("kind")))
 
 
 def q_round_trip(spark: SparkSession, d: str) -> DataFrame:
