@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexitile.sources.tables import ensure_checkpoint_dir
+from lexitile.sources.tables import ensure_checkpoint_dir, spread
 
 #: Encodings a text is written in, and single-byte encodings it is read in by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-u", "koi8-r", "cp866", "iso8859-5", "cp437", "cp850", "mac_roman", "mac_cyrillic")
@@ -191,7 +191,7 @@ def scan_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if counts:
             yield flush(of)
 
-    return docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(scan, out)
+    return spread(docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())).mapInArrow(scan, out)
 
 
 def garbled_words(clean: DataFrame, odd: DataFrame) -> DataFrame:

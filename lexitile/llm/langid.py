@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitile.llm.texts import prose_sentences
+from lexitile.sources.tables import spread
 
 #: Bound of the labelled rows the classifier is fitted on.
 MAX_SAMPLES = 20_000
@@ -224,4 +225,4 @@ def segment_languages(rows: DataFrame, model: LanguageModel, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays([pa.array(res[0], b.column(0).type), pa.array(res[1], pa.int64()), pa.array([model.langs[x] for x in res[2]]), pa.array(np.round(conf, 6)), pa.array(res[4], pa.int64())], names=out.names)
 
     label = label_column(F.col(label_col)) if label_col else F.lit(None).cast("string")
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label")).mapInArrow(run, out).dropDuplicates([id_col, "seg_no"])
+    return spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label"))).mapInArrow(run, out).dropDuplicates([id_col, "seg_no"])

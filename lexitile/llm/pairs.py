@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from lexitile.llm.langid import LanguageModel, label_column, sentence_languages
 from lexitile.llm.texts import WORD, blank_markup, blank_sentences, holds_content
-from lexitile.sources.tables import ensure_checkpoint_dir
+from lexitile.sources.tables import ensure_checkpoint_dir, spread
 
 #: How a responder declines, in the first person or by naming itself, by language.
 REFUSAL = re.compile(
@@ -116,7 +116,7 @@ def _rules(pairs: DataFrame, model: LanguageModel) -> DataFrame:
             sizes = [len(t or "") for t in b.column(2).take(pa.array(keep, pa.int64())).to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array([res[i][0] for i in keep], pa.string()), pa.array(sizes, pa.int32()), pa.array([res[i][1] for i in keep], pa.bool_()), pa.array([res[i][2] for i in keep], pa.string())], names=out.names)
 
-    return pairs.select("id", "src", "tgt", "src_lang", "label").mapInArrow(run, out)
+    return spread(pairs.select("id", "src", "tgt", "src_lang", "label")).mapInArrow(run, out)
 
 
 def shortened_responses(pairs: DataFrame, least: int = 8) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexitile.sources.tables import spread
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words kept with their ids by one task; beyond it the memory is emptied, which changes no result.
 MAX_WORDS = 400_000
@@ -124,4 +126,4 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     col = pa.array([[i for w in ws for i in w] for ws in res], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), col], names=[id_col, out[1].name])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, out)
