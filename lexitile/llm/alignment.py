@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexitile.sources.tables import ensure_checkpoint_dir
+from lexitile.sources.tables import ensure_checkpoint_dir, spread
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)?|[^\W\d_]+(?:[’'՛][^\W\d_]+)*|^=+|^#+")
 IDENT = re.compile(r"[A-Za-z]+_?\d+|\d+(?:[.,]\d+)?")
@@ -52,7 +52,7 @@ def tokens(line: str) -> list[str]:
 
 
 def is_number(t: str) -> bool:
-    return t[0].isdigit()
+    return t[:1].isdigit()
 
 
 def anchors(src: list[str], tgt: list[str]) -> list[tuple[int, int]]:
@@ -123,42 +123,46 @@ def close(a: str, b: str) -> bool:
     return abs(float(a) - float(b)) <= 0.51 * 10**-d
 
 
-def counts(lines: list[list[str]]) -> tuple[list[str], np.ndarray]:
+def indexed(lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens, the token numbers of all lines one after another, and where each line starts; a line without tokens has ''."""
+    lines = [x or [""] for x in lines]
     vocab = sorted({t for x in lines for t in x})
     at = {t: k for k, t in enumerate(vocab)}
-    m = np.zeros((len(lines), len(vocab)))
-    for r, x in enumerate(lines):
-        for t in x:
-            m[r, at[t]] += 1
-    return vocab, m
+    return vocab, np.array([at[t] for x in lines for t in x]), np.cumsum([0, *map(len, lines[:-1])])
+
+
+def with_spans(m: np.ndarray) -> np.ndarray:
+    """Rows of segments followed by rows of spans of two."""
+    return np.concatenate([m, m[:-1] + m[1:]])
 
 
 def emissions(lex: Lexicon, s_lang: str, t_lang: str, src: list[list[str]], tgt: list[list[str]]) -> np.ndarray:
-    """Log-probability of each target segment from each state (segments, then spans of two) against the null state."""
-    us, a = counts(src)
-    vs, b = counts(tgt)
+    """Log-probability of each target segment from each state (segments, then spans of two) against the null state.
+
+    A line's sums gather its own tokens' rows, which is less work than products with mostly empty count matrices and keeps
+    the task on its one core.
+    """
+    us, fu, su = indexed(src)
+    vs, fv, sv = indexed(tgt)
     fwd, bwd = lex.table(s_lang, t_lang, us, vs)
     pu, pv = lex.background(s_lang, us), lex.background(t_lang, vs)
+    words_u, words_v = np.array([not is_number(w) for w in us], dtype=float), np.array([not is_number(w) for w in vs], dtype=float)
+    rows = lambda m, flat, starts: np.add.reduceat(m[flat], starts, axis=0)
+    size_s, size_t = np.maximum(with_spans(rows(words_u, fu, su)), 1), np.maximum(rows(words_v, fv, sv), 1)
+    forward = np.log(LEXICAL * with_spans(rows(fwd, fu, su)) / size_s[:, None] / pv + 1 - LEXICAL) * words_v
+    score = rows(forward.T, fv, sv).T
+    backward = np.log(LEXICAL * rows(bwd.T, fv, sv) / size_t[:, None] / pu + 1 - LEXICAL) * words_u
+    score += REVERSE * with_spans(rows(backward.T, fu, su))
     num_u, num_v = [k for k, w in enumerate(us) if is_number(w)], [k for k, w in enumerate(vs) if is_number(w)]
-    same = np.zeros((len(us), len(vs)))
-    for k in num_u:
-        for m in num_v:
-            same[k, m] = close(us[k], vs[m])
-    state = np.vstack([a, a[:-1] + a[1:]])
-    words_u, words_v = np.ones(len(us)), np.ones(len(vs))
-    words_u[num_u], words_v[num_v] = 0, 0
-    size_s, size_t = np.maximum(state @ words_u, 1), np.maximum(b @ words_v, 1)
-    ratio = np.log(LEXICAL * (state @ fwd) / size_s[:, None] / pv + 1 - LEXICAL)
-    score = np.where(words_v, ratio, 0) @ b.T
-    back = np.log(LEXICAL * (b @ bwd.T) / size_t[:, None] / pu + 1 - LEXICAL)
-    score += REVERSE * (state @ np.where(words_u, back, 0).T)
-    if num_v:
-        found = (np.minimum(state, 1) @ same) > 0
-        value = np.where(found, NUMBER_FOUND, NUMBER_LOST)[:, num_v]
-        score += value @ b[:, num_v].T
-    if num_u:
-        lost = ((np.minimum(b, 1) @ same.T) == 0)[:, num_u]
-        score += state[:, num_u] @ np.where(lost, -0.7, 0.0).T
+    if num_u or num_v:
+        same = np.zeros((len(us), len(vs)))
+        for k in num_u:
+            for m in num_v:
+                same[k, m] = close(us[k], vs[m])
+        found = with_spans(rows(same, fu, su)) > 0
+        score += rows((np.where(found, NUMBER_FOUND, NUMBER_LOST) * (1 - words_v)).T, fv, sv).T
+        lost = rows(same.T, fv, sv) == 0
+        score += with_spans(rows((np.where(lost, -0.7, 0.0) * (1 - words_u)).T, fu, su))
     return score
 
 
@@ -273,7 +277,7 @@ def learn(pairs: DataFrame, rounds: int = 2) -> Lexicon:
         freq = c.where("l2 = '' and w2 = ''").select(F.col("l1").alias("lang"), F.col("w1").alias("w"), "c").groupBy("lang", "w").agg(F.sum("c").alias("c"))
         freq = freq.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))).where(F.col("k") <= MAX_WORDS)
         freqs: dict = defaultdict(dict)
-        for x in freq.select("lang", "w", "c").toLocalIterator():
+        for x in freq.select("lang", "w", "c").collect():
             freqs[x[0]][x[1]] = x[2]
         pairs_c = c.where("w2 != ''")
         known = pairs_c.join(freq.select(F.col("lang").alias("l1"), F.col("w").alias("w1")), ["l1", "w1"], "left_semi").join(freq.select(F.col("lang").alias("l2"), F.col("w").alias("w2")), ["l2", "w2"], "left_semi")
@@ -281,7 +285,7 @@ def learn(pairs: DataFrame, rounds: int = 2) -> Lexicon:
         probs = known.withColumn("f", F.col("c") / (F.sum("c").over(one) + 0.5)).withColumn("b", F.col("c") / (F.sum("c").over(two) + 0.5))
         best = probs.where((F.col("f") >= MIN_P) & (F.col("b") >= MIN_P)).withColumn("k", F.row_number().over(one.orderBy(F.desc(F.col("f") * F.col("b")), "w2"))).where(F.col("k") <= MAX_TRANSLATIONS)
         table: dict = defaultdict(lambda: defaultdict(dict))
-        for x in best.select("l1", "l2", "w1", "w2", "f", "b").toLocalIterator():
+        for x in best.select("l1", "l2", "w1", "w2", "f", "b").collect():
             table[x[0], x[1]][x[2]][x[3]] = (x[4], x[5])
         lex = Lexicon({k: dict(v) for k, v in table.items()}, {k: {w: n / sum(v.values()) for w, n in v.items()} for k, v in freqs.items()})
     return lex
@@ -291,7 +295,7 @@ def align_files(pairs: DataFrame, id_col: str, src: str = "src_text", tgt: str =
     """``id_col, src_line, tgt_line`` for each pair of segments that translate one another."""
     ensure_checkpoint_dir(pairs.sparkSession)
     kind = pairs.schema[id_col].dataType
-    p = pairs.select(F.col(id_col).alias("id"), F.trim(src_lang).alias("sl"), F.trim(tgt_lang).alias("tl"), F.col(src).alias("s"), F.col(tgt).alias("t")).where("s is not null and t is not null")
+    p = spread(pairs.select(F.col(id_col).alias("id"), F.trim(src_lang).alias("sl"), F.trim(tgt_lang).alias("tl"), F.col(src).alias("s"), F.col(tgt).alias("t")).where("s is not null and t is not null"))
     shared = pairs.sparkSession.sparkContext.broadcast(learn(p))
     out = T.StructType([T.StructField(id_col, kind), T.StructField("src_line", T.LongType()), T.StructField("tgt_line", T.LongType())])
 
