@@ -108,9 +108,11 @@ def clear_missing(long: DataFrame, store: DataFrame, source: str) -> tuple[DataF
     keep = F.col("src_held") & (F.col("n_held") > 0)
     kept = cells.where("held").join(rows.where(keep).select("row_id"), "row_id", "left_semi").select("row_id", "path", "lang", "checksum")
     orphans = held.join(kept.select("lang", "path", "checksum").distinct(), ["lang", "path", "checksum"], "left_anti")
-    a = rows.agg(F.count_if(~keep).alias("removed_rows"), F.coalesce(F.sum(F.when(keep, F.col("n_gone"))), F.lit(0)).alias("cleared_fields"))
-    b = orphans.agg(F.count_if(F.col("lang") == source).alias("removed_source_chunks"), F.count_if(F.col("lang") != source).alias("removed_target_chunks"))
-    return kept, orphans, a.join(b)  # one row each
+    zero = F.lit(0).cast("bigint")
+    a = rows.select((~keep).cast("bigint").alias("removed_rows"), F.when(keep, F.col("n_gone")).otherwise(0).alias("cleared_fields"), zero.alias("removed_source_chunks"), zero.alias("removed_target_chunks"))
+    b = orphans.select(zero.alias("removed_rows"), zero.alias("cleared_fields"), (F.col("lang") == source).cast("bigint").alias("removed_source_chunks"), (F.col("lang") != source).cast("bigint").alias("removed_target_chunks"))
+    flags = a.unionByName(b)
+    return kept, orphans, flags.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in flags.columns])
 
 
 def clear_all(long: DataFrame, store: DataFrame, lang: str | None = None, path: str | None = None, keyword: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,13 @@ def q_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
     return best_matches(asked, s.where("store_id % 50 != 0"), ["lang", "path"], gate=0.0)
 
 
+def q_fuzzy_lang(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk whose id is divisible by 50 against all other chunks of its language, above the gate of examples."""
+    s = table(spark, d, "chunk_store").where("content is not null").select("store_id", "lang", "content").dropDuplicates(["store_id"])
+    asked = s.where("store_id % 50 = 0").withColumnRenamed("store_id", "query_id")
+    return best_matches(asked, s.where("store_id % 50 != 0"), ["lang"])
+
+
 def echo(prompt: str) -> str:
     """A stand-in model: gives the unit back with its text in capitals left as it is."""
     a, b = prompt.find("<document>"), prompt.rfind("</document>")
