@@ -7,7 +7,7 @@ is fixed at 240). Features are normalised by the number of n-grams of a sentence
 of its words' scores: each distinct word is scored once a task.
 
 Defined cases: texts without a sentence of prose (NULL, empty, blank, markup, code, math, numbers, names) have no
-segments; repeated rows count once by the row key; sentences too unsure to tell take the language beside them.
+segments; repeated rows count once by the row key, rows without a key as one; sentences too unsure to tell take the language beside them.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, alpha: float = 2.0, bet
     if len(samples) > MAX_SAMPLES:
         raise ValueError(f"at most {MAX_SAMPLES} labelled samples")
     rows = [(lang, sent, i % round(1 / held_out) == 0) for i, (lang, text) in enumerate(samples) for sent in prose_sentences(text)]
-    for lang in {r[0] for r in rows} & set(COMMON):
+    for lang in sorted({r[0] for r in rows} & set(COMMON) or set(COMMON)):  # without samples the common words are all there is
         words = COMMON[lang].split()
         rows += [(lang, words[i : i + 8], False) for i in range(0, len(words), 4)]
     langs = sorted({r[0] for r in rows})

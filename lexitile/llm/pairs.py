@@ -8,7 +8,7 @@ unfinished responses pile up. Where neither text ends a sentence, the last word
 a far more frequent one, or that hardly ever ends a line or sentence, was cut.
 
 Defined cases: a prompt without content has no defect; NULL and blank responses are empty; repeated rows count once by
-the row key; a copy is no defect where the label names the prompt's own language.
+the row key, rows without a key as one; a copy is no defect where the label names the prompt's own language.
 """
 
 from __future__ import annotations

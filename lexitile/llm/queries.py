@@ -15,10 +15,14 @@ from lexitile.llm.tokenizer import DEFAULT_RANKS, encode_corpus
 from lexitile.sources.tables import table
 
 
+#: Limits that hold where size_limits has no row of the kind.
+DEFAULT_LIMITS = {"typst_chunk": (2000, 120), "document": (2048, 0)}
+
+
 def limits(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     """``max_size, overlap_size`` of an item kind; size_limits has one row a kind."""
-    r = table(spark, sf_dir, "size_limits").where(F.col("item_kind") == kind).select("max_size", "overlap_size").first()
-    return int(r[0]), int(r[1])
+    r = table(spark, sf_dir, "size_limits").where((F.col("item_kind") == kind) & F.col("max_size").isNotNull()).select("max_size", F.coalesce("overlap_size", F.lit(0))).first()
+    return (int(r[0]), int(r[1])) if r else DEFAULT_LIMITS[kind]
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:

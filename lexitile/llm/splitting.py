@@ -5,7 +5,7 @@ inside a word) and each piece by the square of its distance from the even size;
 characters and each next piece starts ``overlap`` characters before the end of the previous one. Positions inside a
 word are candidates only where no boundary lies within reach of the one before.
 
-Defined cases: NULL and short contents give no rows; repeated rows count once by the item's key; sizes are Unicode code
+Defined cases: NULL and short contents give no rows; repeated rows count once by the item's key, rows without a key as one; sizes are Unicode code
 points; CRLF pairs and combining marks are not torn; a missing or wrong byte range of the item gives ranges relative to
 the item, told by ``range_base``.
 """

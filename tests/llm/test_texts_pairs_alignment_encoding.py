@@ -34,6 +34,12 @@ def test_held_out_accuracy(samples):
     assert 0 < m.probabilities(sums).max() <= 1
 
 
+def test_model_without_samples():
+    m = fit([])
+    found, _ = sentence_languages(m, [prose_sentences("please send a different text because we cannot help with this")])
+    assert m.langs[found[0][0]] == "English" and set(m.langs) == set(LABELS.values())
+
+
 def test_segments_by_language(spark, model):
     t = "The model limits the layer. Das Modell begrenzt die Schicht.\nDer Baum zeigt das Netz. Le modèle limite la couche."
     df = spark.createDataFrame([(1, t, "English"), (1, t, "English"), (2, None, None), (3, "", "de"), (4, "Kappa", None), (5, "Die Datei erklärt die Linse.", " _DE_ "), (6, "Die Datei erklärt die Linse.", "auto")], "pair_id long, tgt_text string, tgt_lang string").withColumn("lang", F.lit(1))
