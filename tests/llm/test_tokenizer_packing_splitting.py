@@ -95,3 +95,30 @@ def test_split_prefers_paragraphs(spark):
     one = [r for r in rows if r.chunk_id == 1]
     assert one[0].byte_range.start_byte == 5 and one[-1].byte_range.end_byte == 5 + len(text) and all(text[r.byte_range.start_byte - 5 : r.byte_range.end_byte - 5] == r.content for r in one)
     assert split_items(df.limit(0), "chunk_id", "content", 320, 10).collect() == []
+
+
+@given(st.lists(st.sampled_from(["a", "bb", "ccc.", "d\n", "e\n\n"]), min_size=6, max_size=12), st.integers(8, 14), st.integers(0, 2))
+@settings(max_examples=120, deadline=None)
+def test_split_is_cheapest(words, size, overlap):
+    """Against all choices of boundaries, where words are short enough that none must be cut."""
+    from functools import lru_cache
+
+    from lexitile.llm.splitting import BALANCE, KINDS, PENALTY, boundaries
+
+    text = " ".join(words)
+    n, reach = len(text), size - overlap
+    kinds = dict(zip(*boundaries(text)))
+    if n <= size or any(b - a > reach for a, b in zip([0, *kinds], [*kinds, n])):
+        return
+    even = overlap + (n - overlap) / -(-(n - overlap) // reach)
+
+    def piece(start: int, end: int) -> float:
+        return BALANCE * ((end - start - even) / size) ** 2 + (PENALTY[KINDS[kinds[end]]] if end < n else 0)
+
+    @lru_cache(maxsize=None)
+    def best(start: int, cut: int) -> float:
+        ends = [e for e in [*kinds, n] if cut < e <= start + size and (e == n or e > overlap)]
+        return min((piece(start, e) + (best(e - overlap, e) if e < n else 0) for e in ends), default=float("inf"))
+
+    got = sum(piece(s, e) for s, e, _ in split_points(text, size, overlap))
+    assert got == pytest.approx(best(0, 0))
