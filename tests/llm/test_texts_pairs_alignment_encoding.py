@@ -34,6 +34,15 @@ def test_held_out_accuracy(samples):
     assert 0 < m.probabilities(sums).max() <= 1
 
 
+def test_hash_sample_is_bounded_and_the_same_each_time(spark):
+    from lexitile.llm.langid import hash_sample
+
+    df = spark.createDataFrame([("x", f"text {i % 500}") for i in range(2000)] + [("x", "hot")] * 1000, "lang string, text string")
+    a, b = (sorted(r.text for r in hash_sample(d, "text", 20).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(set(a)) == 20
+    assert len(hash_sample(df, "text", 5000).collect()) == 501 and hash_sample(df.limit(0), "text", 5).collect() == []
+
+
 def test_model_without_samples():
     m = fit([])
     found, _ = sentence_languages(m, [prose_sentences("please send a different text because we cannot help with this")])
