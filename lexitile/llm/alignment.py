@@ -34,6 +34,8 @@ MAX_WORDS = 5_000
 #: Translations kept for a word.
 MAX_TRANSLATIONS = 12
 MIN_P = 0.01
+#: Smallest expected count of a word pair that is kept.
+MIN_SHARE = 0.03
 LEXICAL = 0.9
 NUMBER_FOUND, NUMBER_LOST = 2.5, -7.0
 REVERSE = 0.5
@@ -108,11 +110,24 @@ class Lexicon:
                         fwd[r, c], bwd[r, c] = f, b
         return fwd, bwd
 
+    def weights(self, s_lang: str, t_lang: str, src: list[str], tgt: list[str]) -> np.ndarray:
+        """How strongly the given distinct words claim one another."""
+        fwd, bwd = self.table(s_lang, t_lang, src, tgt)
+        return np.sqrt((fwd + 1e-4) * (bwd + 1e-4)) / np.sqrt(self.background(s_lang, src)[:, None] * self.background(t_lang, tgt))
+
     def background(self, lang: str, words: list[str]) -> np.ndarray:
         f = self.freq.get(lang, {})
         return np.array([max(f.get(w, 0.0), 2e-4) for w in words])
 
 
+def word_sets(lines: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct words of all lines, and the numbers of each line's distinct words; numbers in the text are no words."""
+    sets = [sorted({t for t in x if not is_number(t)}) for x in lines]
+    vocab = sorted({t for x in sets for t in x})
+    at = {t: k for k, t in enumerate(vocab)}
+    return vocab, [np.array([at[t] for t in x], dtype=np.int64) for x in sets]
+
+
 def close(a: str, b: str) -> bool:
     """Equal numbers, or one rounded from the other."""
     if a == b:
@@ -243,21 +258,20 @@ def _count(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
                 for lang, lines in ((sl, st), (tl, tt)):
                     for w, c in Counter(x for y in lines for x in y if not is_number(x)).items():
                         sums[lang, "", w, ""] += c
+                us, ui = word_sets(st)
+                vs, vj = word_sets(tt)
+                weights = None if lex is None else lex.weights(sl, tl, us, vs)
                 for i, j in links:
-                    u, v = sorted({x for x in st[i] if not is_number(x)}), sorted({x for x in tt[j] if not is_number(x)})
-                    if not u or not v:
+                    if not len(ui[i]) or not len(vj[j]):
                         continue
-                    if lex is None:
-                        share = np.full((len(u), len(v)), 1 / len(u))
+                    if weights is None:
+                        share = np.full((len(ui[i]), len(vj[j])), 1 / len(ui[i]))
                     else:
-                        fwd, bwd = lex.table(sl, tl, u, v)
-                        share = np.sqrt((fwd + 1e-4) * (bwd + 1e-4)) / np.sqrt(lex.background(sl, u)[:, None] * lex.background(tl, v))
-                        share /= share.sum(axis=0)
-                    for x, row in zip(u, share.tolist()):
-                        for y, c in zip(v, row):
-                            if c > 0.03:
-                                key = (tl, sl, y, x) if sl > tl else (sl, tl, x, y)
-                                sums[key] += c
+                        share = weights[np.ix_(ui[i], vj[j])]
+                        share = share / share.sum(axis=0)
+                    r, c = np.nonzero(share > MIN_SHARE)
+                    for x, y, n in zip(ui[i][r].tolist(), vj[j][c].tolist(), share[r, c].tolist()):
+                        sums[(tl, sl, vs[y], us[x]) if sl > tl else (sl, tl, us[x], vs[y])] += n
                 if len(sums) > 200_000:
                     yield flush()
         if sums:
