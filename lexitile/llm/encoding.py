@@ -151,7 +151,7 @@ def scan_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Only words beyond ASCII or with an inner '?' are taken, and the runs beyond ASCII within them, which find garbled words whose original
     stands nowhere else; code spans are left out. One pass in Arrow batches: most words need no look at all, and each distinct
-    word is judged once a task, which took a fifth of the CPU time of regular expressions over arrays in SQL.
+    word is judged once a task.
     """
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("odd", T.BooleanType())])
