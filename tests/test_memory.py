@@ -139,3 +139,17 @@ def test_orphans_reasons_and_cascade(spark):
     assert rows(c.where("level > 0").select("ref_table", "row_key", "reason", "level")) == [("kid", 11, "inherited", 1)]
     empty = {"parent": parent.limit(0), "mid": tables["mid"].limit(0), "kid": kid.limit(0)}
     assert rows(direct_orphans(empty, keys)) == []
+
+
+def test_an_orphan_in_one_field_inherits_in_another(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 2, 1)
+    parent = spark.createDataFrame([("k1", at, None)], f"pk string, a {T}, b {T}")
+    mid = spark.createDataFrame([(1, "k1", at, "m1", None), (2, "gone", at, "m2", None)], f"id long, fk string, t {T}, own string, gone {T}")
+    kid = spark.createDataFrame([(10, "gone", "m2", at), (11, "k1", "m2", at), (12, "gone", "m1", at), (13, "gone", "none", at)], f"id long, fk string, ref string, t {T}")
+    keys = [ForeignKey(t, "id", "t", "fk", "parent", "pk", "a", "b") for t in ("mid", "kid")] + [ForeignKey("kid", "id", "t", "ref", "mid", "own", "t", "gone")]
+    c = cascade({"parent": parent, "mid": mid, "kid": kid}, keys, {"mid": ("id", "own")})
+    assert rows(c.where("ref_table = 'kid'").select("row_key", "ref_field", "reason", "level")) == [
+        (10, "fk", "missing", 0), (10, "ref", "inherited", 1), (11, "ref", "inherited", 1), (12, "fk", "missing", 0), (13, "fk", "missing", 0), (13, "ref", "missing", 0)
+    ]
