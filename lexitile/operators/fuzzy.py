@@ -1,11 +1,12 @@
 """Fuzzy search in the memory: for each query chunk the most similar chunk of its file (or language).
 
 The score is the ratio of the longest-matching-blocks comparison, ``difflib.SequenceMatcher(None, stored, query)``. Candidates are
-distinct texts; two upper bounds (lengths, then character counts) skip pairs that cannot beat the best so far or pass the
-gate, so the result is exact. Queries are gathered in blocks of bounded size per key and meet the stored rows by an equi-join
-on the key; a stored row meets each block once, no pair is ever written.
+distinct texts; upper bounds (character counts of whole blocks at once, then the longest common subsequence) skip pairs that
+cannot reach the best so far or pass the gate, so the result is exact. Queries and stored texts are gathered in blocks of about
+equal size per key, which meet by an equi-join on key and stored block; no pair is ever written.
 
-Defined cases: NULL and empty texts neither ask nor answer; ties go to the smaller checksum; no score above the gate, no row.
+Defined cases: NULL and empty texts neither ask nor answer; ties go to the smaller checksum; no score above the gate, no row; a
+query that is itself stored is not answered by its own row, but by another row of the same text.
 """
 
 from __future__ import annotations
@@ -13,40 +14,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Queries in a block.
-BLOCK = 64
+#: Queries and stored texts in a block, on average.
+BLOCK, STORED_BLOCK = 64, 512
 
 
-def best_matches(queries: DataFrame, stored: DataFrame, keys: list[str], gate: float = 0.7) -> DataFrame:
+def shared_signs(a: list[str], b: list[str]) -> np.ndarray:
+    """For each text of a and of b the number of characters they share, as multisets."""
+    at: dict[str, int] = {}
+    flat = [[at.setdefault(c, len(at)) for c in x] for x in (*a, *b)]
+    counts = np.array([np.bincount(np.array(x, dtype=np.int64), minlength=len(at)) for x in flat], dtype=np.int32)
+    top = counts[: len(a)]
+    return np.stack([np.minimum(top, y).sum(axis=1) for y in counts[len(a) :]], axis=1)
+
+
+def common_length(places: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given as bit sets of each character's places, and another."""
+    full = (1 << n) - 1
+    v = full
+    for c in other:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def best_matches(queries: DataFrame, stored: DataFrame, keys: list[str], gate: float = 0.7, own: str | None = None) -> DataFrame:
     """``query_id, match_sum, score``: the best stored text of each query above the gate.
 
-    ``queries``: ``query_id``, the keys, ``content``; ``stored``: the keys and ``content``.
+    ``queries``: ``query_id``, the keys, ``content``; ``stored``: the keys and ``content``, and with ``own`` a column of that name
+    that holds the ``query_id`` under which a row asks, unique in ``stored``; no query is answered by that row.
     """
-    q = queries.where(F.length("content") > 0).select("query_id", *keys, "content")
-    n = F.floor((F.row_number().over(Window.partitionBy(*keys, F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / BLOCK)
-    blocks = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64))).withColumn("block", n).groupBy(*keys, "part", "block").agg(F.collect_list(F.struct("query_id", "content")).alias("asked"))
-    s = stored.where(F.length("content") > 0).select(*keys, "content", F.sha2("content", 256).alias("sum")).dropDuplicates([*keys, "sum"])
     kind = queries.schema["query_id"].dataType.simpleString()
 
+    def parts(df: DataFrame, by: Column, size: int) -> tuple[DataFrame, DataFrame]:
+        """Rows with the number of their block, and the number of blocks of each key."""
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("parts"))
+        return df.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts"))).drop("parts"), sizes
+
+    q, _ = parts(queries.where(F.length("content") > 0).select("query_id", *keys, "content"), F.col("query_id"), BLOCK)
+    asked = q.groupBy(*keys, "part").agg(F.collect_list(F.struct("query_id", F.col("query_id").cast("string").alias("own"), "content")).alias("asked")).drop("part")
+    texts = stored.where(F.length("content") > 0).withColumn("sum", F.sha2("content", 256))
+    # the only row of a text, if it has no other
+    only = F.when(F.count("*") == 1, F.min(F.col(own).cast("string"))) if own else F.lit(None).cast("string")
+    s, sizes = parts(texts.groupBy(*keys, "sum").agg(F.first("content").alias("content"), only.alias("only")), F.col("sum"), STORED_BLOCK)
+    held = s.groupBy(*keys, "part").agg(F.collect_list(F.struct("content", "sum", "only")).alias("held"))
+    asked = asked.join(sizes, keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict = {}
         for b in batches:
-            for content, checksum, asked in zip(b["content"], b["sum"], b["asked"]):
-                for a in asked:
-                    top = best.get(a["query_id"], (gate, ""))
-                    m = SequenceMatcher(None, content, a["content"])
-                    if m.real_quick_ratio() < top[0] or m.quick_ratio() < top[0]:
-                        continue
-                    r = m.ratio()
-                    if r > top[0] or (r == top[0] and top[1] and checksum < top[1]):
-                        best[a["query_id"]] = (r, checksum)
+            for held, asked in zip(b["held"], b["asked"]):
+                contents = [h["content"] for h in held]
+                sizes = np.array([len(x) for x in contents])
+                shared = shared_signs(contents, [a["content"] for a in asked])
+                for k, a in enumerate(asked):
+                    top, text = best.get(a["query_id"], (gate, "")), a["content"]
+                    bound = 2.0 * shared[:, k] / (sizes + len(text))
+                    order = np.argsort(-bound, kind="stable")
+                    m, places = SequenceMatcher(None, "", text), {}
+                    for j, c in enumerate(text):
+                        places[c] = places.get(c, 0) | 1 << j
+                    for i in order[: np.count_nonzero(bound >= top[0])].tolist():
+                        if bound[i] < top[0]:
+                            break
+                        h = held[i]
+                        if h["only"] == a["own"] or 2.0 * common_length(places, len(text), h["content"]) / (len(h["content"]) + len(text)) < top[0]:
+                            continue
+                        m.set_seq1(h["content"])
+                        r = m.ratio()
+                        if r > top[0] or (r == top[0] and top[1] and h["sum"] < top[1]):
+                            top = best[a["query_id"]] = (r, h["sum"])
         yield pd.DataFrame([(k, c, r) for k, (r, c) in best.items()], columns=["query_id", "match_sum", "score"])
 
-    found = s.join(blocks.select(*keys, "asked"), keys).select("content", "sum", "asked").mapInPandas(score, f"query_id {kind}, match_sum string, score double")
-    top = found.groupBy("query_id").agg(F.max("score").alias("score"))
-    return found.join(top, ["query_id", "score"]).groupBy("query_id", "score").agg(F.min("match_sum").alias("match_sum")).select("query_id", "match_sum", "score")
+    found = asked.join(held, [*keys, "part"]).select("held", "asked").mapInPandas(score, f"query_id {kind}, match_sum string, score double")
+    top = found.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match_sum")).alias("m"))
+    return top.select("query_id", "m.match_sum", (-F.col("m.s")).alias("score"))

@@ -27,14 +27,14 @@ def q_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk whose id is divisible by 50 against all other chunks of its language and file."""
     s = table(spark, d, "chunk_store").where("content is not null and path_checksum is not null").select("store_id", "lang", F.lower(F.trim("path_checksum")).alias("path"), "content").dropDuplicates(["store_id"])
     asked = s.where("store_id % 50 = 0").withColumnRenamed("store_id", "query_id")
-    return best_matches(asked, s.where("store_id % 50 != 0"), ["lang", "path"], gate=0.0)
+    return best_matches(asked, s, ["lang", "path"], gate=0.0, own="store_id")
 
 
 def q_fuzzy_lang(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk whose id is divisible by 50 against all other chunks of its language, above the gate of examples."""
     s = table(spark, d, "chunk_store").where("content is not null").select("store_id", "lang", "content").dropDuplicates(["store_id"])
     asked = s.where("store_id % 50 = 0").withColumnRenamed("store_id", "query_id")
-    return best_matches(asked, s.where("store_id % 50 != 0"), ["lang"])
+    return best_matches(asked, s, ["lang"], own="store_id")
 
 
 def echo(prompt: str) -> str:

@@ -153,3 +153,19 @@ def test_an_orphan_in_one_field_inherits_in_another(spark):
     assert rows(c.where("ref_table = 'kid'").select("row_key", "ref_field", "reason", "level")) == [
         (10, "fk", "missing", 0), (10, "ref", "inherited", 1), (11, "ref", "inherited", 1), (12, "fk", "missing", 0), (13, "fk", "missing", 0), (13, "ref", "missing", 0)
     ]
+
+
+def test_fuzzy_queries_meet_each_other_and_never_their_own_row(spark, tmp_path):
+    import random
+    from difflib import SequenceMatcher
+
+    from lexitile.plans.stream_queries import QUERIES
+
+    rng = random.Random(5)
+    texts = {50 * k + r: " ".join(rng.choice(["lens", "soil", "tree", "limits", "the"]) for _ in range(rng.randint(3, 60))) for k in range(1, 9) for r in (0, 1, 2)}
+    texts |= {100: "an unusual question here", 150: "an unusual question there", 200: "same words twice", 250: "same words twice", 999: None, 450: ""}
+    spark.createDataFrame([(k, "English", "p", "c", t) for k, t in texts.items()], STORE).write.parquet(str(tmp_path / "chunk_store.parquet"))
+    asked = {k: t for k, t in texts.items() if k % 50 == 0 and t}
+    best = {k: max(SequenceMatcher(None, u, t).ratio() for j, u in texts.items() if j != k and u) for k, t in asked.items()}
+    assert {r.query_id: r.score for r in QUERIES["q_fuzzy_best"](spark, str(tmp_path)).collect()} == pytest.approx(best) and best[200] == 1 and best[100] > 0.9
+    assert {r.query_id: r.score for r in QUERIES["q_fuzzy_lang"](spark, str(tmp_path)).collect()} == pytest.approx({k: r for k, r in best.items() if r > 0.7})
