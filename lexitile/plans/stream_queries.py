@@ -31,10 +31,10 @@ def q_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fuzzy_lang(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk whose id is divisible by 50 against all other chunks of its language, above the gate of examples."""
+    """Every chunk whose id is divisible by 50 against all other chunks of its language, without a gate."""
     s = table(spark, d, "chunk_store").where("content is not null").select("store_id", "lang", "content").dropDuplicates(["store_id"])
     asked = s.where("store_id % 50 = 0").withColumnRenamed("store_id", "query_id")
-    return best_matches(asked, s, ["lang"], own="store_id")
+    return best_matches(asked, s, ["lang"], gate=0.0, own="store_id")
 
 
 def echo(prompt: str) -> str:

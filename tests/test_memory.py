@@ -168,4 +168,4 @@ def test_fuzzy_queries_meet_each_other_and_never_their_own_row(spark, tmp_path):
     asked = {k: t for k, t in texts.items() if k % 50 == 0 and t}
     best = {k: max(SequenceMatcher(None, u, t).ratio() for j, u in texts.items() if j != k and u) for k, t in asked.items()}
     assert {r.query_id: r.score for r in QUERIES["q_fuzzy_best"](spark, str(tmp_path)).collect()} == pytest.approx(best) and best[200] == 1 and best[100] > 0.9
-    assert {r.query_id: r.score for r in QUERIES["q_fuzzy_lang"](spark, str(tmp_path)).collect()} == pytest.approx({k: r for k, r in best.items() if r > 0.7})
+    assert min(best.values()) < 0.7 and {r.query_id: r.score for r in QUERIES["q_fuzzy_lang"](spark, str(tmp_path)).collect()} == pytest.approx(best)
