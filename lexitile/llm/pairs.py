@@ -3,12 +3,12 @@
 Each pair gets the first defect that applies: 'empty', 'refusal', 'copy', 'other_language', 'truncated'. Emptiness,
 refusal, copy and language are rules on the pair alone, in one narrow stage over the pairs. Shortened responses are found in
 four ways: the response breaks off where the prompt ends a sentence; it has fewer sentences than the prompt; it is a
-proper prefix of its neighbour when the responses to equal prompts are sorted by text; or it stops at a length where
-unfinished responses pile up. Where neither text ends a sentence, the last word decides: a word that is a mere prefix of
+proper prefix of its neighbour when the responses to equal prompts are sorted by text, whatever its label, length or last
+sign; or it ends openly at a length where unfinished responses pile up. Where neither text ends a sentence, the last word decides: a word that is a mere prefix of
 a far more frequent one, or that hardly ever ends a line or sentence, was cut.
 
 Defined cases: a prompt without content has no defect; NULL and blank responses are empty; repeated rows count once by
-the row key, rows without a key as one; a copy is no defect where the label names the prompt's own language.
+the row key, rows without a key as one; a response equal to its prompt is no shortened one; a copy is no defect where the label names the prompt's own language.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ HINTS = (
 )
 #: Ends of sentences.
 CLOSED = set(".!?։…:;)]\"”»’'")
+#: Last signs of code, math and tags.
+MARKUP_END = set("`$}>")
 CUT_TAG = re.compile(r"</?[A-Za-z]{0,12}\Z")
 ELLIPSIS = re.compile(r"(?:\.\.\.|…)\s*\Z")
 MARK_END = re.compile(r"[\s{}\]>]*\Z")
@@ -63,6 +65,10 @@ def last_mark(blank: str) -> str:
     return bare[-1] if bare else ""
 
 
+def ends_openly(sign: str) -> bool:
+    return sign != "" and sign not in CLOSED and sign not in MARKUP_END
+
+
 def overlap(a: list[list[str]], b: list[list[str]]) -> float:
     """Share of a's words found in b."""
     ca, cb = Counter(w.lower() for s in a for w in s), Counter(w.lower() for s in b for w in s)
@@ -70,7 +76,7 @@ def overlap(a: list[list[str]], b: list[list[str]]) -> float:
 
 
 def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None, str | None, str | None]]) -> Iterator[tuple[str | None, bool, str]]:
-    """For ``(src_text, tgt_text, src_lang, label)``: the defect by rules, whether shortening is in doubt, the last word."""
+    """For ``(src_text, tgt_text, src_lang, label)``: the defect by rules, whether it ends openly without one, the last word."""
     blank_s, blank_t = [blank_markup(r[0]) for r in rows], [blank_markup(r[1]) for r in rows]
     src, tgt = [blank_sentences(b) for b in blank_s], [blank_sentences(b) for b in blank_t]
     langs, _ = sentence_languages(model, tgt)
@@ -92,7 +98,7 @@ def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None,
             yield "other_language", False, ""
             continue
         if not s:
-            yield None, False, ""
+            yield None, ends_openly(t_text.rstrip()[-1]), ""
             continue
         end_s, end_t = last_mark(s_blank), last_mark(t_blank)
         dots = ELLIPSIS.search(t_text) and not ELLIPSIS.search(s_text)
@@ -101,7 +107,7 @@ def rule_defects(model: LanguageModel, rows: list[tuple[str | None, str | None,
             yield "truncated", False, ""
             continue
         words = WORD.findall(t_blank) if end_t.isalpha() else []
-        yield None, end_t.isalpha(), words[-1].lower() if words else ""
+        yield None, ends_openly(end_t), words[-1].lower() if words else ""
 
 
 def _rules(pairs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -119,18 +125,19 @@ def _rules(pairs: DataFrame, model: LanguageModel) -> DataFrame:
     return spread(pairs.select("id", "src", "tgt", "src_lang", "label")).mapInArrow(run, out)
 
 
-def shortened_responses(pairs: DataFrame, least: int = 8) -> DataFrame:
-    """``prompt, label, tgt`` of the distinct responses that are proper prefixes of their neighbour in text order.
+def shortened_responses(pairs: DataFrame) -> DataFrame:
+    """``prompt, tgt`` of the distinct responses that are proper prefixes of their neighbour in text order.
 
-    Distinct responses are range-partitioned and sorted by (prompt, label, text), so equal prompts spread over as many
+    Distinct responses are range-partitioned and sorted by (prompt, text), so equal prompts spread over as many
     partitions as their responses need. If a text is a prefix of any later one, it is a prefix of its direct successor; the successor
     of a partition's last text is the first text of the next partition that has rows.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
-    keys = ["prompt", "label", "tgt"]
-    base = pairs.where(F.length("tgt") >= least).select(F.xxhash64("src").alias("prompt"), F.coalesce("label", F.lit("")).alias("label"), F.rtrim("tgt").alias("tgt")).distinct()
+    keys = ["prompt", "tgt"]
+    base = pairs.where("tgt is not null").select(F.xxhash64("src").alias("prompt"), F.rtrim("tgt").alias("tgt")).distinct()
     ordered = base.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    out = T.StructType([T.StructField("prompt", T.LongType()), T.StructField("label", T.StringType()), T.StructField("tgt", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("place", T.StringType())])
+    out = T.StructType([T.StructField("prompt", T.LongType()), T.StructField("tgt", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("place", T.StringType())])
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string()]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, first = TaskContext.get().partitionId(), None, True
@@ -140,17 +147,17 @@ def shortened_responses(pairs: DataFrame, least: int = 8) -> DataFrame:
                 if first:
                     rows.append((*row, part, "first"))
                     first = False
-                elif row[:2] == before[:2] and row[2].startswith(before[2]):
+                elif row[0] == before[0] and row[1].startswith(before[1]):
                     rows.append((*before, part, "prefix"))
                 before = row
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()])], names=out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=out.names)
         if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*before, part, "last"), [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()])], names=out.names)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*before, part, "last"), kinds)], names=out.names)
 
     found = ordered.mapInArrow(neighbours, out).checkpoint()
     w = Window.orderBy("part", F.col("place") == "last")  # two rows a partition
     edges = found.where("place != 'prefix'").select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*keys, "place")])
-    crossing = edges.where("place = 'last' and next_place = 'first' and prompt = next_prompt and label = next_label and startswith(next_tgt, tgt)")
+    crossing = edges.where("place = 'last' and next_place = 'first' and prompt = next_prompt and startswith(next_tgt, tgt)")
     return found.where("place = 'prefix'").select(*keys).unionByName(crossing.select(*keys))
 
 
@@ -185,8 +192,10 @@ def pair_defects(pairs: DataFrame, model: LanguageModel, id_col: str, src: str =
     ensure_checkpoint_dir(pairs.sparkSession)
     ruled = _rules(p, model).dropDuplicates(["id"]).checkpoint()  # flagged and doubtful rows only; read four times
     doubtful = ruled.where("defect is null and doubt")
-    texts = p.select("id", F.xxhash64("src").alias("prompt"), F.coalesce("label", F.lit("")).alias("label"), F.rtrim("tgt").alias("tgt")).join(doubtful.select("id"), "id").dropDuplicates(["id"])
-    by_prefix = texts.join(shortened_responses(p), ["prompt", "label", "tgt"], "left_semi").select("id")
+    responses = p.where(F.col("src").rlike(r"[\p{L}\p{N}]")).select("id", F.xxhash64("src").alias("prompt"), F.rtrim("src").alias("whole"), F.rtrim("tgt").alias("tgt")).where("tgt != whole")
+    by_prefix = responses.join(shortened_responses(p), ["prompt", "tgt"], "left_semi").select("id")
+    judged = ruled.where("defect is not null").select(F.col("id").alias("judged_id"))
+    by_prefix = by_prefix.join(judged, F.col("id").eqNullSafe(F.col("judged_id")), "left_anti")
     by_length = doubtful.join(length_spikes(ruled.where("defect = 'truncated'").select("n")), "n", "left_semi").select("id")
     by_word = doubtful.join(cut_words(p, doubtful), F.col("last_word") == F.col("word"), "left_semi").select("id")
     late = by_prefix.unionByName(by_length).unionByName(by_word).distinct().select("id", F.lit("truncated").alias("defect"))

@@ -96,6 +96,18 @@ def test_shortened_responses_equal_brute_force(spark):
     assert {r.tgt for r in shortened_responses(df).collect()} == brute
 
 
+def test_prefixes_of_other_responses_whatever_end_label_and_length(spark, model):
+    number, listed, code = "Der Wert ist 12 in Zeile 40", "- 3 von 10, 4", "f(3) = 4, g(5) = 6"
+    cases = [
+        (1, "The value is 12 in row 40", number, "German"), (2, "The value is 12 in row 40", number[:-1], "German"),
+        (3, "The value is 12 in row 40", number, None), (4, "The value is 12 in row 40", "Der Wert ist 12", None),
+        (5, "- 3 of 10, 4", listed, "German"), (6, "- 3 of 10, 4", "- 3 von 10,", "n/a"), (7, "- 3 of 10, 4", "- 3", None),
+        (8, code, code, None), (9, code, "f(3) = 4,", None), (10, "Kappa", "Kappa", None), (11, "Kappa", "Kappa-Wert", None), (12, " - ", "-", None), (13, " - ", "- x", None),
+    ]
+    df = spark.createDataFrame([(k, s, t, "English", lang) for k, s, t, lang in cases], "pair_id long, src_text string, tgt_text string, src_lang string, tgt_lang string")
+    assert {r.pair_id: r.defect for r in pair_defects(df, model, "pair_id").collect()} == dict.fromkeys((2, 4, 6, 7, 9), "truncated")
+
+
 def test_alignment_finds_merges_splits_and_moves(spark):
     nouns = [("model", "Modell"), ("network", "Netz"), ("tree", "Baum"), ("layer", "Blatt"), ("river", "Bach"), ("soil", "Boden"), ("price", "Preis"), ("market", "Markt")]
     files = []
