@@ -89,7 +89,9 @@ def cache(p: Project, a: argparse.Namespace) -> list[str]:
     spark = SparkSession.builder.getOrCreate()
     if a.action == "sync":
         return [f"{k} {n}" for k, n in files.sync(spark, p, [a.lang] if a.lang else None).items()]
-    return [str(files.clear(spark, p, a.lang, p.relative_path(Path(a.file)) if a.file else None, a.keyword) if a.all else 0)]
+    if a.missing_chunks:
+        return [str(files.clear_missing(spark, p))]
+    return [str(files.clear(spark, p, a.lang, p.relative_path(Path(a.file)) if a.file else None, a.keyword))]
 
 
 def translate(p: Project, a: argparse.Namespace) -> list[str]:

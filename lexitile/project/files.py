@@ -10,7 +10,7 @@ import shutil
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from lexitile.functions.text import compile_cells, parse_metadata, split_cells
 from lexitile.operators.chunking import chunk_documents
 from lexitile.operators.translation import Ladder, translate_plain, translate_sequential
 from lexitile.project import FOLDER, Project, ProjectError
-from lexitile.sources.files import REVIEW_TAGS, notebook_cells, notebook_with, text_files, write_files
+from lexitile.sources.files import REVIEW_TAGS, notebook_cells, notebook_checksums, notebook_with, text_files, write_files
 
 MEMORY = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "src_lang", "tgt_lang", "content", "translated")] + [T.StructField("seq", T.LongType())])
 KIND = {"latex": "latex", "markdown": "myst", "typst": "typst"}
@@ -103,6 +103,9 @@ def recovered(spark: SparkSession, p: Project, lang: str) -> DataFrame:
         t = targets.where(F.col("doc_type") == doc_type).select("rel_path", F.posexplode(split_cells(kind, F.col("content"))).alias("ordinal", "cell"))
         t = t.select("rel_path", "ordinal", parse_metadata(kind, F.col("cell.block"))["src_checksum"].alias("sum"), F.col("cell.source").alias("translated"))
         out = t if out is None else out.unionByName(t)
+    both = F.arrays_zip(notebook_cells(F.col("content")).alias("cell"), notebook_checksums(F.col("content")).alias("sum"))
+    books = targets.where("doc_type = 'jupyter'").select("rel_path", F.posexplode(both).alias("ordinal", "c"))
+    out = out.unionByName(books.select("rel_path", "ordinal", F.col("c.sum").alias("sum"), F.col("c.cell.source").alias("translated")))
     return out.join(first, ["rel_path", "sum"]).select(F.col("rel_path").alias("path"), "content", "translated", "ordinal")
 
 
@@ -118,6 +121,29 @@ def sync(spark: SparkSession, p: Project, langs: list[str] | None = None) -> dic
     return out
 
 
+def _keep(spark: SparkSession, p: Project, kept: Column) -> int:
+    """Leaves the rows of the memory for which ``kept`` holds; the number removed."""
+    m = memory(spark, p).persist()
+    n, target = m.where(~kept).count(), memory_path(p)
+    if n:
+        fresh = target.with_name("memory.new")
+        m.where(kept).write.mode("overwrite").parquet(str(fresh))
+        shutil.rmtree(target)
+        fresh.rename(target)
+    m.unpersist()
+    return n
+
+
+def clear_missing(spark: SparkSession, p: Project) -> int:
+    """Removes rows of the memory whose source or target chunk is missing; the number removed.
+
+    A row holds both of its chunks, so no chunk is left without a row. A row has no source if it is not from the project's source language.
+    """
+    if not p.config.source:
+        raise ProjectError("no source language")
+    return _keep(spark, p, F.col("content").isNotNull() & F.col("translated").isNotNull() & F.col("src_lang").eqNullSafe(F.lit(p.config.source["lang"])))
+
+
 def clear(spark: SparkSession, p: Project, lang: str | None = None, path: str | None = None, keyword: str | None = None) -> int:
     """Removes rows of the memory by language, file and literal keyword; the number removed."""
     m = memory(spark, p).persist()

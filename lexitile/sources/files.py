@@ -46,6 +46,12 @@ def notebook_cells(content: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(c["cell_type"].alias("cell_type"), joined(c["source"]).alias("source")))
 
 
+def notebook_checksums(content: Column) -> Column:
+    """``ARRAY<STRING>``: the source checksum in the metadata of each cell, NULL for cells without; NULL where it is no notebook."""
+    cells = F.from_json(F.get_json_object(content, "$.cells"), "array<struct<metadata:struct<src_checksum:string>>>")
+    return F.transform(cells, lambda c: c["metadata"]["src_checksum"])
+
+
 def notebook_with(content: Column, sources: Column, flags: Column) -> Column:
     """The notebook with new cell sources and review tags in order; all other keys of notebook, cells and metadata stay.
 

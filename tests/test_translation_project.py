@@ -122,6 +122,28 @@ def test_translate_files_end_to_end(spark, project):
     assert int(run(["cache", "clear", "--all", "--keyword", "Text"], project)[0]) > 0
 
 
+def test_sync_rebuilds_notebooks_and_clearing_drops_missing_chunks(spark, project):
+    from lexitile.project.files import memory, memory_path, save_memory
+
+    register_service("shout", shout)
+    run(["set-target", "French"], project)
+    nb = {"cells": [{"cell_type": "markdown", "metadata": {}, "source": ["# Head\n", "words"]}, {"cell_type": "raw", "source": ""}], "metadata": {}, "nbformat": 4}
+    (project / "en" / "n.ipynb").write_text(json.dumps(nb), encoding="utf-8")
+    run(["add", "en/n.ipynb"], project)
+    run(["translate", "all", "French", "--service", "shout"], project)
+    assert int(run(["cache", "clear", "--all"], project)[0]) > 0
+    run(["cache", "sync", "--lang", "French"], project)
+    p = Project.load(project)
+    got = {r.content: r.translated for r in memory(spark, p).where("path = 'n.ipynb'").collect()}
+    target = json.loads((project / "course_fr" / "n.ipynb").read_text(encoding="utf-8"))
+    assert got["# Head\nwords"] == "".join(target["cells"][0]["source"]) and "T:" in got["# Head\nwords"]
+    n = memory(spark, p).count()
+    new = [("x", "English", "French", "a", None, 0), ("x", "English", "French", None, "b", 1), ("x", "German", "French", "c", "d", 2), ("x", "English", "German", "e", "f", 3)]
+    save_memory(spark, p, spark.createDataFrame(new, memory(spark, p).schema))
+    assert run(["cache", "clear", "--missing-chunks"], project) == ["3"] and run(["cache", "clear", "--missing-chunks"], project) == ["0"]
+    assert memory(spark, p).count() == n + 1 and memory_path(p).exists()
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.md").write_text("---\njupytext:\n  text_representation:\n    extension: .md\n    format_name: myst\n---\n# T\n", encoding="utf-8")
