@@ -34,8 +34,8 @@ MAX_WORDS = 5_000
 #: Translations kept for a word.
 MAX_TRANSLATIONS = 12
 MIN_P = 0.01
-#: Smallest expected count of a word pair that is kept.
-MIN_SHARE = 0.03
+#: Smallest expected count of a word pair that is kept, or this part of the uniform share where a segment's many words make that less.
+MIN_SHARE, MIN_UNIFORM = 0.03, 0.5
 LEXICAL = 0.9
 NUMBER_FOUND, NUMBER_LOST = 2.5, -7.0
 REVERSE = 0.5
@@ -269,7 +269,7 @@ def _count(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
                     else:
                         share = weights[np.ix_(ui[i], vj[j])]
                         share = share / share.sum(axis=0)
-                    r, c = np.nonzero(share > MIN_SHARE)
+                    r, c = np.nonzero(share > min(MIN_SHARE, MIN_UNIFORM / len(ui[i])))
                     for x, y, n in zip(ui[i][r].tolist(), vj[j][c].tolist(), share[r, c].tolist()):
                         sums[(tl, sl, vs[y], us[x]) if sl > tl else (sl, tl, us[x], vs[y])] += n
                 if len(sums) > 200_000:

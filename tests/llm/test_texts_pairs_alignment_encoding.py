@@ -108,6 +108,15 @@ def test_prefixes_of_other_responses_whatever_end_label_and_length(spark, model)
     assert {r.pair_id: r.defect for r in pair_defects(df, model, "pair_id").collect()} == dict.fromkeys((2, 4, 6, 7, 9), "truncated")
 
 
+def test_long_segments_are_counted(spark):
+    from lexitile.llm.alignment import _count
+
+    name = lambda lang, n: lang + "abcdefghij"[n // 10] + "abcdefghij"[n % 10]
+    row = (1, "English", "German", *(" ".join(name(x, n) for n in range(40)) + " 1000" for x in "ed"))
+    c = _count(spark.createDataFrame([row], "id long, sl string, tl string, s string, t string"), None)
+    assert c.where("w2 != ''").count() == 1600
+
+
 def test_alignment_finds_merges_splits_and_moves(spark):
     nouns = [("model", "Modell"), ("network", "Netz"), ("tree", "Baum"), ("layer", "Blatt"), ("river", "Bach"), ("soil", "Boden"), ("price", "Preis"), ("market", "Markt")]
     files = []
