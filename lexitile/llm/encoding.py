@@ -1,22 +1,27 @@
 """Text garbled by a wrong character encoding: finding and restoring it.
 
-Every distinct clean word of the corpus that has signs beyond ASCII is garbled under all chains of encodings (written in one,
-read in another, once or twice, with and without loss). Joining the corpus's odd words with these forms by equality finds the
-garbled ones and their originals; a form counts only if it is odd itself and, where nothing was lost, turns back into the original.
-Several originals of one form are settled by their frequency. A restored document has its odd words substituted; words whose
-original occurs nowhere else are turned back by the chains found in the same document.
+Every distinct word of the corpus that has signs beyond ASCII is garbled under all chains of encodings (written in one, read in
+another, once or twice, with and without loss), and all words of the documents are joined with these forms by equality. No word is left
+out because of its looks. A word is taken for a garbled form by its frequency against its original's; what a chain proves by itself
+(a form that is valid UTF-8, signs lost, signs no language has) adds to that. The evidence of a document for a chain is the sum over its words,
+but no more than the signs and letters it rests on can carry, so that single signs, which may be signs of their own, prove
+nothing alone. They count where most documents that hold them are garbled by that chain, known from their other words.
+
+A restored document has its garbled words substituted. Words without a known original, and short words that may be either, follow the
+words beside them and are turned back by the chains of the document; ``n_left`` counts those that can't be.
 
 Defined cases: NULL, empty and ASCII texts are clean; words in code spans (single backquotes) are quotations and never count;
-repeated rows give one result row a document id; signs lost to U+FFFD or '?' are restored only where exactly one corpus word fits best.
+repeated rows give one result row a document id; signs lost to U+FFFD or '?' are restored by the most frequent corpus word that fits;
+where a form is as frequent as its original and looks no stranger, nothing is garbled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +57,14 @@ _ODD = re.compile(f"{STRANGE}|{TELLTALE}")
 #: Words consist of letters, digits, '?' (it may stand for a lost sign) and anything beyond ASCII.
 PARTS = r"[0-9A-Za-z?\x80-\U0010ffff]+"
 LOST = r"[A-Za-z]\?[A-Za-z]"
-#: Distinct words judged or counted by one task before its memory is emptied, which changes no result.
-MAX_WORDS = 200_000
 SPAN = r"`[^`\n]*`"
 
 
+#: Evidence a document needs for a chain, as a logarithm; what one changed sign can carry at most, and half as many again for each ASCII letter beside it;
+#: what a word must gain to count as evidence; what a form proves by itself: by each sign of a valid UTF-8 sequence, by a lost sign, by signs or orders of signs that no language has.
+EVIDENCE, SIGN, LEAST, VALID, LOST_SIGN, ODD = 4.0, 2.0, 2.0, 1.4, 4.0, 2.0
+
+
 def is_odd(word: str) -> bool:
     return bool(_ODD.search(word))
 
@@ -110,7 +118,7 @@ def turn_back(word: str, chain: str) -> str | None:
 
 
 def garbled_forms(word: str) -> Iterator[tuple[str, str]]:
-    """``(form, chain)`` of a clean word: a chain is 'written>read', 'utf-8>read>read' or '…>lost'."""
+    """``(form, chain)`` of a word: a chain is 'written>read', 'utf-8>read>read' or '…>lost'. Several chains may give one form."""
     seen = {word}
     raw = word.encode("utf-8")
     for name in WRITTEN:
@@ -119,148 +127,184 @@ def garbled_forms(word: str) -> Iterator[tuple[str, str]]:
             continue
         for r in READ:
             form = read(data, r)
-            if form not in seen:
-                seen.add(form)
-                if is_odd(form):
-                    yield form, f"{name}>{r}"
+            if form != word:
+                yield form, f"{name}>{r}"
             if r in PARTIAL:
+                seen.add(form)
                 for how in ("ignore", "replace"):
                     form = data.decode(r, how)
                     if form not in seen:
                         seen.add(form)
-                        if is_odd(form):
-                            yield form, f"{name}>{r}>lost"
+                        yield form, f"{name}>{r}>lost"
         if name != "utf-8":
             form = data.decode("utf-8", "replace")
             if form not in seen and "�" in form:
                 seen.add(form)
                 yield form, f"{name}>lost"
     for a, b in TWICE:
-        form = read(read(raw, a).encode("utf-8"), b)
-        if form not in seen:
-            seen.add(form)
-            yield form, f"utf-8>{a}>{b}"
+        yield read(read(raw, a).encode("utf-8"), b), f"utf-8>{a}>{b}"
     for form in (raw.decode("ascii", "replace"), "".join(c if c < "\x80" else "�" for c in word), word.encode("ascii", "replace").decode()):
-        if form not in seen and ("�" in form or re.search(r"[A-Za-z]\?[A-Za-z]", form)):
+        if form not in seen and ("�" in form or re.search(LOST, form)):
             seen.add(form)
             yield form, "utf-8>lost"
 
 
 def scan_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, word, n, odd``: a row for each odd word of each document, and partial document counts of clean words (``id`` NULL).
+    """``id, words``: the distinct words beyond ASCII or with an inner '?' of each document that has any, and the runs beyond ASCII within them.
 
-    Only words beyond ASCII or with an inner '?' are taken, and the runs beyond ASCII within them, which find garbled words whose original
-    stands nowhere else; code spans are left out. One pass in Arrow batches: most words need no look at all, and each distinct
-    word is judged once a task.
+    The runs find garbled words whose original stands nowhere else; code spans are left out.
     """
-    kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("odd", T.BooleanType())])
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
     word, span, lost, run = re.compile(PARTS), re.compile(SPAN), re.compile(LOST), re.compile(r"[^\x00-\x7f]+")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        judged: dict[str, bool] = {}
-
-        def flush(of: pa.DataType) -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.nulls(len(counts), of), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([False] * len(counts))], names=out.names)
-            counts.clear()
-            return b
-
-        of = None
         for b in batches:
-            of, at, odd = b.column(0).type, [], []
+            at, words = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if not text or (text.isascii() and "?" not in text):
                     continue
                 found = {w for w in set(word.findall(span.sub(" ", text) if "`" in text else text)) if not w.isascii() or lost.search(w)}
                 found.update(r for w in [*found] for r in run.findall(w))
-                for w in found:
-                    is_it = judged.get(w)
-                    if is_it is None:
-                        if len(judged) > MAX_WORDS:
-                            judged.clear()
-                        is_it = judged[w] = is_odd(w) or bool(lost.search(w))
-                    if is_it:
-                        at.append(i)
-                        odd.append(w)
-                    else:
-                        counts[w] += 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(odd, pa.string()), pa.array([1] * len(odd), pa.int64()), pa.array([True] * len(odd), pa.bool_())], names=out.names)
-            if len(counts) > MAX_WORDS:
-                yield flush(of)
-        if counts:
-            yield flush(of)
+                if found:
+                    at.append(i)
+                    words.append(list(found))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.list_(pa.string()))], names=out.names)
 
     return spread(docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())).mapInArrow(scan, out)
 
 
-def garbled_words(clean: DataFrame, odd: DataFrame) -> DataFrame:
-    """``word, original, chain``: the odd words that are garbled forms of the ``word, n`` clean words of the corpus."""
-    out = T.StructType([T.StructField("word", T.StringType()), T.StructField("original", T.StringType()), T.StructField("chain", T.StringType()), T.StructField("n", T.LongType())])
+def changed_signs(form: str, original: str, chain: str) -> str:
+    """The distinct signs of a form that differ from the original's: by position for single bytes, all beyond ASCII else."""
+    if len(form) == len(original) and not chain.endswith("lost"):
+        return "".join(sorted({a for a, b in zip(form, original) if a != b}))
+    return "".join(sorted({c for c in form if c > "\x7f" or c == "?"}))
+
+
+def proof(form: str, original: str, chain: str) -> float:
+    """What a form proves by itself, as a logarithm."""
+    valid = sum(c > "\x7f" for c in form) if chain.startswith("utf-8") and not chain.endswith("lost") else 0
+    return ODD * (is_odd(form) - is_odd(original)) + (LOST_SIGN if "�" in form else VALID * valid)
+
+
+def garbled_words(counts: DataFrame) -> DataFrame:
+    """``word, chain, original, m, gain, signs, letters``: words of ``word, n`` that are forms of another, for each chain the likeliest original.
+
+    ``m`` is the original's frequency; ``gain`` is the logarithm of how much more frequent the original is, and of what the form proves by itself.
+    """
+    forms = T.StructType([T.StructField(c, T.StringType()) for c in ("word", "original", "chain")] + [T.StructField("m", T.LongType())])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
 
     def garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                rows = [(form, w, chain, n) for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for form, chain in garbled_forms(w)]
+                rows = [(form, w, chain, m) for w, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for form, chain in garbled_forms(w)]
                 cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=out.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=forms.names)
 
-    forms = clean.mapInArrow(garble, out)
-    hits = forms.join(odd.select("word").distinct(), "word", "left_semi")
-    best = Window.partitionBy("word").orderBy(F.col("chain").endswith("lost"), F.desc("n"), F.length("chain"), "original", "chain")
-    return hits.withColumn("k", F.row_number().over(best)).where("k = 1").select("word", "original", "chain")
+    @F.pandas_udf("signs string, proof double")
+    def shown(word: pd.Series, original: pd.Series, chain: pd.Series) -> pd.DataFrame:
+        rows = list(zip(word, original, chain))
+        return pd.DataFrame({"signs": [changed_signs(*r) for r in rows], "proof": [proof(*r) for r in rows]})
 
+    hits = counts.mapInArrow(garble, forms).join(counts, "word").withColumn("shown", shown("word", "original", "chain"))
+    gain = F.log(F.col("m") / F.col("n")) + F.col("shown.proof")
+    best = hits.withColumn("gain", gain).where("gain > 0").groupBy("word", "chain").agg(F.max(F.struct("gain", "m", "original", "shown.signs")).alias("b"))
+    letters = F.length(F.regexp_replace("word", "[^A-Za-z]", ""))
+    return best.select("word", "chain", "b.original", "b.m", "b.gain", "b.signs", letters.alias("letters"))
 
-def find_garbled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, word, original, chain``: the garbled words of each document."""
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The scanned documents, and ``id, word, original, chain, m, e`` of every word that a garbled document's chain explains; ``e`` is the chain's evidence in the document."""
     ensure_checkpoint_dir(docs.sparkSession)
-    scanned = scan_words(docs, id_col, text_col).checkpoint()  # odd words and distinct clean words a task, read three times
-    odd = scanned.where("odd").select("id", "word")
-    clean = scanned.where("not odd").groupBy("word").agg(F.sum("n").alias("n"))
-    found = odd.join(garbled_words(clean, odd), "word").distinct()
-    # A form of one sign may be a sign of its own ('²' for '§'); it counts beside a longer garbled word of the document.
-    long = (F.length("word") > 1) | F.col("word").contains("�")
-    return found.withColumn("sure", F.max(long).over(Window.partitionBy("id"))).where("sure").drop("sure")
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # few words still are many forms
+    scanned = scan_words(docs, id_col, text_col).dropDuplicates(["id"]).checkpoint()  # words of documents that have any beyond ASCII, read twice
+    words = scanned.select("id", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).repartition(cores, "word").checkpoint()  # one row a distinct word, read twice
+    hits = words.join(garbled_words(counts), "word").checkpoint()  # words that may be garbled, read three times
+    # The signs of one document: bounded by its distinct garbled words.
+    signs = F.array_distinct(F.split(F.concat_ws("", F.collect_set("signs")), ""))
+    carried = SIGN * F.size(F.array_remove(signs, "")) + F.sum("letters") / 2 + F.when(F.array_contains(signs, "�"), LOST_SIGN).otherwise(0.0)
+    sure = hits.where(F.col("gain") >= LEAST).groupBy("id", "chain").agg(F.sum("gain").alias("sure"), carried.alias("carried")).where(F.least("sure", "carried") >= EVIDENCE).select("id", "chain", "sure")
+    known = hits.join(sure, ["id", "chain"], "left").withColumn("any_sure", F.max("sure").over(Window.partitionBy("id", "word")))
+    # A sign that may be a sign of its own: garbled where most documents with it are known to be, by the same chain.
+    rest = known.groupBy("word", "chain").agg(F.count("sure").alias("by_chain"), F.count_if(F.col("any_sure").isNull()).alias("open")).where("by_chain > open").select("word", "chain")
+    more = hits.join(rest, ["word", "chain"], "left_semi").select("id", "chain")
+    garbled = sure.unionByName(more.withColumn("sure", F.lit(0.0))).groupBy("id", "chain").agg(F.max("sure").alias("e"))
+    return scanned, hits.join(garbled, ["id", "chain"]).select("id", "word", "original", "chain", "m", "e")
+
+
+def find_garbled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, word, original, chain``: the garbled words of each document under the chains it is garbled by."""
+    return _judged(docs, id_col, text_col)[1].select("id", "word", "original", "chain")
 
 
 def restore_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, text, n_restored, n_left`` of each affected document: the restored text, words substituted and words left odd."""
-    found = find_garbled(docs, id_col, text_col)
-    # The distinct garbled words of one document: bounded by the document.
-    maps = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "original"))).alias("words"), F.collect_set("chain").alias("chains"))
+    """``id_col, text, n_restored, n_left`` of each affected document: the restored text, words substituted and garbled words left."""
+    scanned, found = _judged(docs, id_col, text_col)
+    found = found.checkpoint()  # garbled words of the affected documents, read three times
+    ids = found.select("id").distinct()
+    lossless = ~F.col("chain").endswith("lost")
+    best = found.groupBy("id", "word").agg(F.max(F.struct(lossless.alias("l"), "e", "m", "original"))["original"].alias("original"), F.collect_set(F.struct(-F.col("e"), "chain")).alias("chains"))
+    # The distinct garbled words and chains of one document: bounded by the document.
+    maps = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "original"))).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chains"))))["chain"].alias("chains"))
+    # Words of affected documents that clean documents hold as well.
+    clean = scanned.join(ids, "id", "left_anti").select(F.explode("words").alias("word")).distinct()
+    own = scanned.join(ids, "id", "left_semi").select("id", F.explode("words").alias("word")).join(clean, "word", "left_semi").groupBy("id").agg(F.collect_set("word").alias("clean"))
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_restored", T.LongType()), T.StructField("n_left", T.LongType())])
-    token = re.compile(f"({SPAN})|({PARTS})")
-
-    # A word of accented Latin letters alone that turns back into another script is garbled, though its letters are clean.
-    foreign, native = re.compile(r"[À-ÿŒœŸ«»§°·¿¡’]{2,}"), re.compile(f"[{CYRILLIC}{ARMENIAN}]")
 
     def substitute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, done, left = [], [], []
-            for text, words, chains in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                words, n = dict(words), [0, 0]
-                lossless = sorted((c for c in chains if not c.endswith("lost")), key=len, reverse=True)
-
-                def sub(m: re.Match) -> str:
-                    w = m.group(2)
-                    if w is None or w.isascii() and w not in words:
-                        return m.group()
-                    o = words.get(w)
-                    if o is None and (is_odd(w) or foreign.fullmatch(w)):
-                        back = (turn_back(w, c) for c in lossless)
-                        o = next((x for x in back if x is not None and not is_odd(x) and (is_odd(w) or native.search(x))), None)
-                        if o is None and is_odd(w):
-                            n[1] += 1
-                    if o is None:
-                        return w
-                    n[0] += 1
-                    return o
-
-                texts.append(token.sub(sub, text))
-                done.append(n[0])
-                left.append(n[1])
+            rows = [restore_text(text, dict(words), chains, set(clean or ())) for text, words, chains, clean in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
+            texts, done, left = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(done, pa.int64()), pa.array(left, pa.int64())], names=out.names)
 
-    affected = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(maps, "id").dropDuplicates(["id"])
-    return affected.select("id", "text", "words", "chains").mapInArrow(substitute, out)
+    affected = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(maps, "id").dropDuplicates(["id"]).join(own, "id", "left")
+    return affected.select("id", "text", "words", "chains", "clean").mapInArrow(substitute, out)
+
+
+TOKEN = re.compile(f"({SPAN})|({PARTS})")
+
+
+def restore_text(text: str, words: dict[str, str], chains: list[str], clean: set[str]) -> tuple[str, int, int]:
+    """The restored text, the number of words substituted and of garbled words left.
+
+    ``words`` has the originals of garbled words, ``clean`` the words that clean documents hold too, ``chains`` begins with the likeliest. Words of three signs and more beyond ASCII
+    decide for themselves; the others, and those in neither, follow the nearest words that do.
+    """
+    ways = [c for c in chains if not c.endswith("lost")]
+    tokens = [m for m in TOKEN.finditer(text) if m.group(2) and (not m.group(2).isascii() or m.group(2) in words)]
+    state: list[bool | None] = []  # garbled, clean, to be told by its neighbours
+    for m in tokens:
+        w = m.group(2)
+        short = sum(c > "\x7f" for c in w) < 3
+        if w in words:
+            state.append(None if short and w in clean else True)
+        elif is_odd(w):
+            state.append(True)
+        else:
+            state.append(False if w in clean and not short else None)
+    before, after, last = [], [], None
+    for s in state:
+        before.append(last)
+        last = s if s is not None else last
+    last = None
+    for s in reversed(state):
+        after.append(last)
+        last = s if s is not None else last
+    after.reverse()
+    out, at, done, left = [], 0, 0, 0
+    for m, s, lo, hi in zip(tokens, state, before, after):
+        w, o = m.group(2), None
+        sides = [x for x in (lo, hi) if x is not None]
+        if s is None:
+            s = bool(sides) and (all(sides) if w in clean else any(sides))
+        if s:
+            back = (x for x in (turn_back(w, c) for c in ways) if x is not None and x != w and not is_odd(x))
+            o = words.get(w) or next(back, None)
+            if o is None and (is_odd(w) or w not in clean):
+                left += 1
+        if o is not None:
+            out += [text[at : m.start()], o]
+            at, done = m.end(), done + 1
+    return "".join([*out, text[at:]]), done, left

@@ -179,3 +179,44 @@ def test_garbled_documents(spark):
     fixed = {r.doc_id: r.text for r in restore_documents(df, "doc_id", "text").collect()}
     assert fixed[10] == CLEAN[0] and fixed[12] == CLEAN[1] and fixed[11] == CLEAN[2].split()[0] + " " + CLEAN[2] and fixed[14] == CLEAN[0]
     assert find_garbled(df.limit(0), "doc_id", "text").collect() == []
+
+
+UKRAINIAN = [
+    "слово дерево метод тиск шар мережа описує рівняння на першому кроці", "метод описує тиск і шар, а мережа змінює дерево", "рівняння та слово на дереві: мережа, метод, тиск",
+    "шар змінює слово на кожному кроці, мережа описує метод", "дерево й тиск описує рівняння, слово на першому кроці",
+]
+
+
+@pytest.mark.parametrize(("written", "was_read"), [("koi8-u", "cp1251"), ("cp1251", "koi8-u"), ("cp1251", "cp866"), ("cp866", "cp1251")])
+def test_cyrillic_read_as_other_cyrillic(spark, written, was_read):
+    """Forms whose letters are all letters of the language are told by their frequency against their originals'."""
+    from lexitile.llm.encoding import read
+
+    whole = "слово дерево метод тиск шар мережа"
+    half = f"Рівняння описує {read('мережа метод тиск'.encode(written), was_read)} на першому кроці"
+    texts = {k: t for k, t in enumerate(UKRAINIAN * 8)} | {100: read(whole.encode(written), was_read), 101: half, 102: "МЕТОД і СЛОВО на першому кроці"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fixed = {r.doc_id: (r.text, r.n_left) for r in restore_documents(df, "doc_id", "text").collect()}
+    assert fixed == {100: (whole, 0), 101: ("Рівняння описує мережа метод тиск на першому кроці", 0)}
+
+
+def test_single_signs_count_only_with_their_chain(spark):
+    """'õ' for '§' is garbled if other documents show its chain, 'Å' and '½' that no garbled document holds are signs of their own."""
+    from lexitile.llm.encoding import read
+
+    plain = [f"§ {k} für die größte Übung" for k in range(40)]
+    bad = [read(f"§ {k} für die größte Übung".encode("cp850", "replace"), "cp1252") for k in range(5)]
+    texts = dict(enumerate(plain)) | {100 + k: t for k, t in enumerate(bad)} | {200: read("§".encode("cp850"), "cp1252") + " 7 ist alles", 201: "Å 7 ist ½ davon"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.id for r in find_garbled(df, "doc_id", "text").select("id").distinct().collect()}
+    assert found == {*range(100, 105), 200}
+
+
+def test_words_without_original_follow_their_neighbours():
+    from lexitile.llm.encoding import read, restore_text
+
+    text = read("мережа якась рідкість тиск".encode("koi8-u"), "cp1251")
+    first, last = text.split()[0], text.split()[-1]
+    assert restore_text(f"шар {text} шар", {first: "мережа", last: "тиск"}, ["koi8-u>cp1251"], {"шар"}) == ("шар мережа якась рідкість тиск шар", 4, 0)
+    assert restore_text("шар рідкість", {}, ["koi8-u>cp1251"], {"шар"}) == ("шар рідкість", 0, 0)
+    assert restore_text("a � b", {}, ["utf-8>lost"], set()) == ("a � b", 0, 1)
