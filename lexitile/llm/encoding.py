@@ -214,34 +214,46 @@ def garbled_words(counts: DataFrame) -> DataFrame:
     return best.select("word", "chain", "b.original", "b.m", "b.gain", "b.signs", letters.alias("letters"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents, and ``id, word, original, chain, m, e`` of every word that a garbled document's chain explains; ``e`` is the chain's evidence in the document."""
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned documents, the words that may be garbled, and ``id, chain, e`` of each garbled document: the chains it is garbled by and their evidence."""
     ensure_checkpoint_dir(docs.sparkSession)
     cores = docs.sparkSession.sparkContext.defaultParallelism  # few words still are many forms
     scanned = scan_words(docs, id_col, text_col).dropDuplicates(["id"]).checkpoint()  # words of documents that have any beyond ASCII, read twice
     words = scanned.select("id", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).repartition(cores, "word").checkpoint()  # one row a distinct word, read twice
-    hits = words.join(garbled_words(counts), "word").checkpoint()  # words that may be garbled, read three times
+    forms = garbled_words(counts).checkpoint()  # words that may be garbled, read once or twice
+    hits = words.join(forms.where(F.col("gain") >= LEAST), "word").select("id", "word", "chain", "gain", "signs", "letters").checkpoint()  # a row for each word that counts as evidence, read twice
     # The signs of one document: bounded by its distinct garbled words.
     signs = F.array_distinct(F.split(F.concat_ws("", F.collect_set("signs")), ""))
     carried = SIGN * F.size(F.array_remove(signs, "")) + F.sum("letters") / 2 + F.when(F.array_contains(signs, "�"), LOST_SIGN).otherwise(0.0)
-    sure = hits.where(F.col("gain") >= LEAST).groupBy("id", "chain").agg(F.sum("gain").alias("sure"), carried.alias("carried")).where(F.least("sure", "carried") >= EVIDENCE).select("id", "chain", "sure")
-    known = hits.join(sure, ["id", "chain"], "left").withColumn("any_sure", F.max("sure").over(Window.partitionBy("id", "word")))
-    # A sign that may be a sign of its own: garbled where most documents with it are known to be, by the same chain.
-    rest = known.groupBy("word", "chain").agg(F.count("sure").alias("by_chain"), F.count_if(F.col("any_sure").isNull()).alias("open")).where("by_chain > open").select("word", "chain")
-    more = hits.join(rest, ["word", "chain"], "left_semi").select("id", "chain")
-    garbled = sure.unionByName(more.withColumn("sure", F.lit(0.0))).groupBy("id", "chain").agg(F.max("sure").alias("e"))
-    return scanned, hits.join(garbled, ["id", "chain"]).select("id", "word", "original", "chain", "m", "e")
+    sure = hits.groupBy("id", "chain").agg(F.sum("gain").alias("e"), carried.alias("carried")).where(F.least("e", "carried") >= EVIDENCE).select("id", "chain", "e")
+    # A sign that may be a sign of its own: garbled where more documents with it are known to be, by the same chain, than are not known to be by any.
+    known = hits.join(sure, ["id", "chain"], "left").join(sure.select("id", F.lit(True).alias("any")).distinct(), "id", "left")
+    rest = known.groupBy("word", "chain").agg(F.count("e").alias("by_chain"), F.count_if(F.col("any").isNull()).alias("open")).where("by_chain > open").select("word", "chain")
+    more = hits.join(rest, ["word", "chain"], "left_semi").select("id", "chain", F.lit(0.0).alias("e"))
+    return scanned, forms, sure.unionByName(more).groupBy("id", "chain").agg(F.max("e").alias("e"))
+
+
+def garbled_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, chain, e`` of each document with garbled words."""
+    return _judged(docs, id_col, text_col)[2]
 
 
 def find_garbled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, word, original, chain``: the garbled words of each document under the chains it is garbled by."""
-    return _judged(docs, id_col, text_col)[1].select("id", "word", "original", "chain")
+    return _explained(*_judged(docs, id_col, text_col)).select("id", "word", "original", "chain")
+
+
+def _explained(scanned: DataFrame, forms: DataFrame, garbled: DataFrame) -> DataFrame:
+    """``id, word, original, chain, m, e``: every word of a garbled document that one of its chains explains."""
+    words = scanned.join(garbled.select("id").distinct(), "id", "left_semi").select("id", F.explode("words").alias("word"))
+    return words.join(forms, "word").join(garbled, ["id", "chain"]).select("id", "word", "original", "chain", "m", "e")
 
 
 def restore_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col, text, n_restored, n_left`` of each affected document: the restored text, words substituted and garbled words left."""
-    scanned, found = _judged(docs, id_col, text_col)
+    judged = _judged(docs, id_col, text_col)
+    scanned, found = judged[0], _explained(*judged)
     found = found.checkpoint()  # garbled words of the affected documents, read three times
     ids = found.select("id").distinct()
     lossless = ~F.col("chain").endswith("lost")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitile.llm.alignment import align_files
-from lexitile.llm.encoding import find_garbled, restore_documents
+from lexitile.llm.encoding import garbled_documents, restore_documents
 from lexitile.llm.langid import LanguageModel, fit_table, segment_languages
 from lexitile.llm.packing import pack
 from lexitile.llm.pairs import pair_defects
@@ -68,7 +68,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+    return garbled_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
