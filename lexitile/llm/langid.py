@@ -159,16 +159,18 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, alpha: float = 2.0, bet
     return LanguageModel(langs, kept, bias, temperature)
 
 
-def fit_table(samples: DataFrame, sources: DataFrame | None = None) -> LanguageModel:
-    """Fit from ``lang, text`` reference texts, and ``SOURCE_SAMPLES`` of the ``lang, text`` sources if given; raises beyond ``MAX_SAMPLES`` rows."""
+def _known(df: DataFrame) -> DataFrame:
+    return df.select("lang", "text").where("lang is not null and text is not null")
 
-    def known(df: DataFrame) -> DataFrame:
-        return df.select("lang", "text").where("lang is not null and text is not null")
 
-    rows = known(samples).orderBy("lang", "text").limit(MAX_SAMPLES + 1).collect()
-    if sources is not None:
-        rows += [r for r in hash_sample(known(sources), "text", SOURCE_SAMPLES).collect() if label_name(r[0])]
-    return fit([(label_name(r[0]) or r[0], r[1]) for r in rows])
+def reference_rows(samples: DataFrame) -> list[tuple[str, str]]:
+    """``(language, text)`` of the ``lang, text`` reference texts; ``fit`` raises beyond ``MAX_SAMPLES``."""
+    return [(label_name(r[0]) or r[0], r[1]) for r in _known(samples).orderBy("lang", "text").limit(MAX_SAMPLES + 1).collect()]
+
+
+def source_rows(sources: DataFrame) -> list[tuple[str, str]]:
+    """``(language, text)`` of ``SOURCE_SAMPLES`` of the ``lang, text`` sources whose label names a language."""
+    return [(label_name(r[0]), r[1]) for r in hash_sample(_known(sources), "text", SOURCE_SAMPLES).collect() if label_name(r[0])]
 
 
 def hash_sample(df: DataFrame, by: str, n: int) -> DataFrame:

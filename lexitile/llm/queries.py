@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lexitile.llm.alignment import align_files
 from lexitile.llm.encoding import garbled_documents, restore_documents
-from lexitile.llm.langid import LanguageModel, fit_table, segment_languages
+from lexitile.llm.langid import LanguageModel, fit, reference_rows, segment_languages, source_rows
 from lexitile.llm.packing import pack
 from lexitile.llm.pairs import pair_defects
+from lexitile.llm.refusals import fit_refusals
 from lexitile.llm.splitting import split_items
+from lexitile.llm.texts import prose_sentences
 from lexitile.llm.tokenizer import DEFAULT_RANKS, encode_corpus
 from lexitile.sources.tables import table
 
@@ -25,11 +27,16 @@ def limits(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return (int(r[0]), int(r[1])) if r else DEFAULT_LIMITS[kind]
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
-    """Fitted on the reference texts and a bounded sample of source texts, whose language is reliable."""
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The reference texts and a bounded sample of source texts, whose language is reliable, as ``(language, text)``."""
     samples = table(spark, sf_dir, "lang_samples").select("lang", F.col("sample_text").alias("text"))
     sources = table(spark, sf_dir, "recovered_pairs").select(F.col("src_lang").alias("lang"), F.col("src_text").alias("text"))
-    return fit_table(samples, sources)
+    return reference_rows(samples), source_rows(sources)
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    samples, sources = labelled(spark, sf_dir)
+    return fit(samples + sources)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +50,9 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_defects(table(spark, sf_dir, "recovered_pairs"), language_model(spark, sf_dir), "pair_id")
+    samples, sources = labelled(spark, sf_dir)
+    refusals = fit_refusals([(lang, s) for lang, text in sources for s in prose_sentences(text)])
+    return pair_defects(table(spark, sf_dir, "recovered_pairs"), fit(samples + sources), refusals, "pair_id")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
+from collections import Counter
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexitile.llm.alignment import Lexicon, align_files, anchors, close, segments
 from lexitile.llm.encoding import find_garbled, garbled_forms, is_odd, restore_documents, turn_back
 from lexitile.llm.langid import LABELS, fit, label_column, segment_languages, sentence_languages
-from lexitile.llm.pairs import pair_defects, shortened_responses
+from lexitile.llm.pairs import pair_defects, prefixes
+from lexitile.llm.refusals import fit_refusals
 from lexitile.llm.texts import holds_content, prose_sentences
 
 
@@ -18,6 +22,11 @@ def model(samples):
     return fit(samples)
 
 
+@pytest.fixture(scope="module")
+def refusals(samples):
+    return fit_refusals([(lang, s) for lang, text in samples for s in prose_sentences(text)])
+
+
 def test_prose():
     assert prose_sentences("(sec-k1)=\n## Der Satz {#a-1}\n$x_1$ gilt `hier`. Neu\\cite{n1}: ja klar") == [["Der", "Satz"], ["gilt"], ["ja", "klar"]][:0] + prose_sentences("(sec-k1)=\n## Der Satz {#a-1}\n$x_1$ gilt `hier`. Neu\\cite{n1}: ja klar")
     assert prose_sentences("Kappa") == prose_sentences("```python\nx = load(3)\n```") == prose_sentences(None) == []
@@ -61,7 +70,7 @@ def test_segments_by_language(spark, model):
 SRC = "The model limits the layer. The tree shows the network without any loss."
 
 
-def test_pair_defects(spark, model):
+def test_pair_defects(spark, model, refusals):
     cases = {
         1: (SRC, "Das Modell begrenzt die Schicht. Der Baum zeigt das Netz.", "German", None),
         2: (SRC, "```\n```", "German", "empty"),
@@ -79,9 +88,9 @@ def test_pair_defects(spark, model):
         14: (SRC, "I must decline to rewrite this text.", None, "refusal"),
     }
     df = spark.createDataFrame([(k, s, t, "English", lang) for k, (s, t, lang, _) in cases.items()] * 2, "pair_id long, src_text string, tgt_text string, src_lang string, tgt_lang string").withColumn("defect", F.lit(""))
-    got = {r.pair_id: r.defect for r in pair_defects(df, model, "pair_id").collect()}
+    got = {r.pair_id: r.defect for r in pair_defects(df, model, refusals, "pair_id").collect()}
     assert got == {k: v[3] for k, v in cases.items() if v[3]}
-    assert pair_defects(df.limit(0), model, "pair_id").collect() == []
+    assert pair_defects(df.limit(0), model, refusals, "pair_id").collect() == []
 
 
 def test_shortened_responses_equal_brute_force(spark):
@@ -90,13 +99,15 @@ def test_shortened_responses_equal_brute_force(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(8, 14))).strip() for _ in range(300)]
     texts += [t[: rng.randint(8, 12)].strip() for t in texts]
-    df = spark.createDataFrame([("s", t, None) for t in texts if len(t) >= 8], "src string, tgt string, label string").repartition(4)
     held = {t for t in texts if len(t) >= 8}
-    brute = {t for t in held if any(u != t and u.startswith(t) for u in held)}
-    assert {r.tgt for r in shortened_responses(df).collect()} == brute
+    df = spark.createDataFrame([(b"s", t, 0) for t in held], "grp binary, text string, size long").repartition(4)
+    brute = {md5(t.encode()).digest() for t in held if any(u != t and u.startswith(t) for u in held)}
+    found, lengths = prefixes(df)
+    assert {bytes(r.text_key) for r in found.collect()} == brute
+    assert {r.n: r.c for r in lengths.collect()} == Counter(map(len, held))
 
 
-def test_prefixes_of_other_responses_whatever_end_label_and_length(spark, model):
+def test_prefixes_of_other_responses_whatever_end_label_and_length(spark, model, refusals):
     number, listed, code = "Der Wert ist 12 in Zeile 40", "- 3 von 10, 4", "f(3) = 4, g(5) = 6"
     cases = [
         (1, "The value is 12 in row 40", number, "German"), (2, "The value is 12 in row 40", number[:-1], "German"),
@@ -105,7 +116,7 @@ def test_prefixes_of_other_responses_whatever_end_label_and_length(spark, model)
         (8, code, code, None), (9, code, "f(3) = 4,", None), (10, "Kappa", "Kappa", None), (11, "Kappa", "Kappa-Wert", None), (12, " - ", "-", None), (13, " - ", "- x", None),
     ]
     df = spark.createDataFrame([(k, s, t, "English", lang) for k, s, t, lang in cases], "pair_id long, src_text string, tgt_text string, src_lang string, tgt_lang string")
-    assert {r.pair_id: r.defect for r in pair_defects(df, model, "pair_id").collect()} == dict.fromkeys((2, 4, 6, 7, 9), "truncated")
+    assert {r.pair_id: r.defect for r in pair_defects(df, model, refusals, "pair_id").collect()} == dict.fromkeys((2, 4, 6, 7, 9), "truncated")
 
 
 def test_long_segments_are_counted(spark):
@@ -220,3 +231,39 @@ def test_words_without_original_follow_their_neighbours():
     assert restore_text(f"шар {text} шар", {first: "мережа", last: "тиск"}, ["koi8-u>cp1251"], {"шар"}) == ("шар мережа якась рідкість тиск шар", 4, 0)
     assert restore_text("шар рідкість", {}, ["koi8-u>cp1251"], {"шар"}) == ("шар рідкість", 0, 0)
     assert restore_text("a � b", {}, ["utf-8>lost"], set()) == ("a � b", 0, 1)
+
+
+ORDINARY = [
+    "Hier kann ich zeigen, dass der Satz gilt.", "Zuerst muss ich die Daten laden.", "je dois charger les données", "Debo rechazar la hipótesis nula.", "I must normalise the vector first.", "Не можу знайти файл.",
+    "I am sorry, but the server cannot open this window.", "Meine Regeln für das Modell sind einfach.", "Nous ne pouvons pas diviser par zéro.", "No puedo abrir la ventana sin la llave.", "Ես պետք է կրկնեմ չափումը։",
+]
+DECLINING = [
+    "I'm sorry, but I can't help with that request.", "As an AI, I am unable to translate this section.", "Leider darf ich diesen Inhalt nicht bearbeiten.", "Désolé, je ne suis pas autorisé à traduire ce document.", "Lo siento, no puedo procesar este contenido.",
+    "На жаль, я не можу перекласти цей фрагмент.", "Ցավոք, չեմ կարող թարգմանել այս տեքստը։",
+]
+
+
+def test_refusals_are_told_from_ordinary_first_person(refusals):
+    assert [t for t in ORDINARY if refusals.declines(prose_sentences(t))] == []
+    assert [t for t in DECLINING if not refusals.declines(prose_sentences(t))] == []
+    assert not refusals.declines([]) and not refusals.declines(prose_sentences("Das Modell begrenzt die Schicht. Der Baum zeigt das Netz. Ich kann diesen Text nicht übersetzen."))
+
+
+def test_prefix_families_and_length_limits_by_themselves(spark):
+    """A planted family of prefixes, shortened neighbours of other prompts and a planted length limit, found by those branches alone."""
+    import random
+
+    from lexitile.llm.pairs import shortened_responses
+
+    rng = random.Random(5)
+    words = "der Baum zeigt Netz Modell begrenzt Schicht ohne Verlust Punkt Kurve Feld lang Wert klein am Ende".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"prompt {k} " + "x" * 90, text(rng.randint(8, 30)) + ".") for k in range(600)]
+    full = "Eine ganz andere Antwort, die über mehrere Zeilen geht und erst hier endet."
+    rows += [(1000 + k, "one prompt", full[:n]) for k, n in enumerate((70, 40, 12, 3))] + [(1004, "one prompt", full), (1005, "One prompt again, in other words", full[:20]), (1006, "One", "Eine"), (1007, "One prompt, again", full[:30] + " …")]
+    rows += [(2000 + k, "y" * 200, (text(60) + "abcdef" * 9)[:117] + "qxz") for k in range(30)]
+    rows += [(3000, "empty", ""), (3001, "null", None), (3002, None, "x"), (3003, "same", "same"), (3004, "same", "same and more.")]
+    df = spark.createDataFrame(rows, "id long, src string, tgt string").repartition(5)
+    got = {r.id: r.by for r in shortened_responses(df).collect()}
+    assert got == dict.fromkeys((1000, 1001, 1002, 1003), "prompt") | dict.fromkeys((1005, 1007), "neighbour") | dict.fromkeys(range(2000, 2030), "length")
+    assert shortened_responses(df.limit(0)).collect() == []
