@@ -3,16 +3,15 @@
 Dynamic programming over boundary positions: a cut costs by the kind of boundary (paragraph, line, sentence, word,
 inside a word) and each piece by the square of its distance from the even size; pieces are at most ``max_size``
 characters and each next piece starts ``overlap`` characters before the end of the previous one. Positions inside a
-word are candidates only where no boundary lies within reach of the one before.
+word are candidates, every one of them, where no boundary lies within reach of the one before.
 
 Defined cases: NULL and short contents give no rows; repeated rows count once by the item's key, rows without a key as one; sizes are Unicode code
-points; CRLF pairs and combining marks are not torn; a missing or wrong byte range of the item gives ranges relative to
+points; cuts tear no CRLF pair and no sign from its combining marks, unless these alone exceed the size; a missing or wrong byte range of the item gives ranges relative to
 the item, told by ``range_base``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +23,45 @@ from pyspark.sql import types as T
 PENALTY = {"paragraph": 0.0, "line": 0.2, "sentence": 0.5, "word": 2.0, "forced": 50.0}
 KINDS = list(PENALTY)
 BALANCE = 4.0
-#: Characters between the positions tried inside a run without boundaries.
-GRID = 8
-_GAP = re.compile(r"\s+")
-_PARA = re.compile(r"\n[^\S\n]*\n|\r[^\S\r\n]*\r|\r\n[^\S\r\n]*\r\n")
+#: Added to a forced cut that tears what belongs together.
+TORN = 1000.0
+#: White space as regular expressions see it, ends of sentences, signs that belong to the one before.
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
+ENDS = np.array([ord(c) for c in ".!?։…"], dtype=np.uint32)
+JOINED = ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x200D, 0x200D), (0x20D0, 0x20FF), (0xFE00, 0xFE0F), (0xFE20, 0xFE2F))
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
     """Cut positions (ends of white space) and the index in KINDS of each."""
-    at, kind = [], []
-    for m in _GAP.finditer(text):
-        if m.start() == 0 or m.end() == len(text):
-            continue
-        gap = m.group()
-        if _PARA.search(gap):
-            k = 0
-        elif "\n" in gap or "\r" in gap:
-            k = 1
-        elif text[m.start() - 1] in ".!?։…":
-            k = 2
-        else:
-            k = 3
-        at.append(m.end())
-        kind.append(k)
-    return at, kind
+    at, kind, _ = gaps(points(text))
+    return at.tolist(), kind.tolist()
+
+
+def gaps(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, kind and start of the white space between words."""
+    space = np.zeros(len(u) + 2, dtype=bool)
+    space[1:-1] = np.isin(u, SPACES)
+    start, end = np.flatnonzero(space[1:] & ~space[:-1]), np.flatnonzero(space[:-1] & ~space[1:])
+    keep = (start > 0) & (end < len(u))
+    start, end = start[keep], end[keep]
+    after = np.append(u[1:], 0)
+    lines = np.cumsum(np.concatenate([[0], (u == 10) | ((u == 13) & (after != 10))]))
+    n = lines[end] - lines[start]
+    kind = np.where(n > 1, 0, np.where(n == 1, 1, np.where(np.isin(u[start - 1], ENDS), 2, 3)))
+    return end, kind, start
+
+
+def torn(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which of the positions lie within a CRLF pair or before a combining mark."""
+    x = u[p]
+    out = (x == 10) & (u[p - 1] == 13)
+    for lo, hi in JOINED:
+        out |= (x >= lo) & (x <= hi)
+    return out
 
 
 def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -57,20 +71,17 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
         raise ValueError("overlap must be at least 0 and below the size")
     if n <= max_size:
         return [(0, n, "end")]
-    at, kind = boundaries(text)
-    known = dict(zip(at, kind))
-    edge, grid = 0, min(GRID, max(1, reach // 4))
-    for nxt in [*at, n]:  # gaps wider than a step need cuts inside
-        if nxt - edge > reach:
-            for p in range(edge + grid, nxt, grid):
-                while p < nxt and ("\u0300" <= text[p] <= "\u036f" or (text[p] == "\n" and text[p - 1] == "\r")):
-                    p += 1
-                if p < nxt:
-                    known.setdefault(p, 4)
-        edge = nxt
-    pos = np.array(sorted(known), dtype=np.int64)
-    kinds = np.array([known[p] for p in pos.tolist()])
+    u = points(text)
+    pos, kinds, _ = gaps(u)
     cost = np.array([PENALTY[k] for k in KINDS])[kinds]
+    edges = np.concatenate([[0], pos, [n]])
+    wide = np.flatnonzero(np.diff(edges) > reach)
+    if len(wide):  # gaps wider than a step need cuts inside
+        inside = np.concatenate([np.arange(edges[g] + 1, edges[g + 1]) for g in wide.tolist()])
+        forced = PENALTY["forced"] + TORN * torn(u, inside)
+        order = np.argsort(np.concatenate([pos, inside]), kind="stable")
+        kinds, cost = np.concatenate([kinds, np.full(len(inside), 4)])[order], np.concatenate([cost, forced])[order]
+        pos = np.concatenate([pos, inside])[order]
     even = overlap + (n - overlap) / -(-(n - overlap) // reach)
     # (e - (p - overlap) - even)² = c² - 2cp + p² with c = e + overlap - even: p² joins the cost so far, one product and one minimum are left.
     ends = np.append(pos, n)
@@ -81,7 +92,6 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
     twice, own = (2 * BALANCE * c).tolist(), (BALANCE * q * q).tolist()
     sofar = np.full(len(pos), np.inf)
     back = [-1] * (len(pos) + 1)
-    total = np.inf
     for j, lo in enumerate(lows):
         total = first[j]
         if lo < j:
@@ -89,13 +99,8 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
             i = int(w.argmin())
             if (other := float(w[i]) + square[j]) < total:
                 total, back[j] = other, lo + i
-        total += step[j]
         if j < len(pos):
-            sofar[j] = total + own[j]
-    if not np.isfinite(total):  # only marks that must not be torn: cut by length
-        cuts = list(range(max_size, n, reach))
-        spans = [0, *[c - overlap for c in cuts]]
-        return [(s, min(n, s + max_size), "forced" if s + max_size < n else "end") for s in spans if s < n]
+            sofar[j] = total + step[j] + own[j]
     chain, j = [], len(pos)
     while j >= 0:
         chain.append(j)
@@ -108,13 +113,22 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
     return out
 
 
+def cut_run(text: str, at: int) -> int:
+    """Length of the unbroken run that a cut lies in; 0 beside white space."""
+    lo, hi = at, at
+    while lo > 0 and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and not text[hi].isspace():
+        hi += 1
+    return hi - lo if lo < at < hi else 0
+
+
 def split_items(items: DataFrame, id_col: str, text_col: str, max_size: int, overlap: int, range_col: str | None = None) -> DataFrame:
     """``id_col, piece_no, content, byte_range, range_base, cut_kind, item_cut`` for each piece of each oversized item.
 
-    ``item_cut`` is 'forced' for items with an unbroken run longer than ``max_size``, else 'natural'. Only oversized rows
-    reach Python (the length filter runs in the JVM) and only they are shuffled to drop repeated rows.
+    ``item_cut`` is 'forced' for items with a forced cut in an unbroken run longer than ``max_size``, which can't come out whole; the overlap may force a cut in
+    a shorter run too, which leaves the item 'natural'. Only oversized rows reach Python (the length filter runs in the JVM) and only they are shuffled to drop repeated rows.
     """
-    whole = re.compile(r"\S{%d}" % (max_size + 1))
     rng = F.col(range_col) if range_col else F.lit(None).cast("struct<start_byte:bigint,end_byte:bigint>")
     big = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rng["start_byte"].alias("s"), rng["end_byte"].alias("e")).where(F.length("text") > max_size).dropDuplicates(["id"])
     span = T.StructType([T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
@@ -130,9 +144,9 @@ def split_items(items: DataFrame, id_col: str, text_col: str, max_size: int, ove
             for k, text, s, e in zip(*(c.to_pylist() for c in b.columns)):
                 total = len(text.encode("utf-8"))
                 known = s is not None and e is not None and e - s == total and s >= 0
-                cut = "forced" if whole.search(text) else "natural"
                 offset = {0: 0}
                 pieces = split_points(text, max_size, overlap)
+                cut = "forced" if any(kind == "forced" and cut_run(text, hi) > max_size for _, hi, kind in pieces) else "natural"
                 prev, size = 0, 0
                 for p in sorted({x for lo, hi, _ in pieces for x in (lo, hi)}):
                     size += len(text[prev:p].encode("utf-8"))

@@ -122,3 +122,28 @@ def test_split_is_cheapest(words, size, overlap):
 
     got = sum(piece(s, e) for s, e, _ in split_points(text, size, overlap))
     assert got == pytest.approx(best(0, 0))
+
+
+RUNS = st.lists(st.one_of(st.integers(1881, 2050).map(lambda n: "a" * n), st.integers(1, 300).map(lambda n: "b" * n), st.integers(1, 2500).map(lambda n: "\u0301" * n), st.sampled_from(["\r\n", " ", "\n\n", "\u200d"])), min_size=1, max_size=8).map("".join)
+
+
+@given(RUNS)
+@settings(max_examples=60, deadline=None)
+def test_split_of_long_runs_and_marks(text):
+    """At the production size: an item is forced exactly if an unbroken run is longer than the size; marks and CRLF are torn only beyond it."""
+    import re
+
+    from lexitile.llm.splitting import cut_run
+
+    p = split_points(text, 2000, 120)
+    assert all(e - s <= 2000 for s, e, _ in p) and p[-1][1] == len(text) and all(e - s2 == 120 for (_, e, _), (s2, _, _) in zip(p, p[1:]))
+    assert any(k == "forced" and cut_run(text, e) > 2000 for _, e, k in p) == bool(re.search(r"\S{2001}", text))
+    if "\u0301" * 1881 not in text and "\u200d" not in text:
+        assert not any(text[e] == "\u0301" or text[e - 1 : e + 1] == "\r\n" for _, e, _ in p[:-1])
+
+
+def test_split_of_a_sign_with_too_many_marks(spark):
+    text = "a" + "\u0301" * 3000
+    assert all(e - s <= 2000 for s, e, _ in split_points(text, 2000, 120))
+    df = spark.createDataFrame([(1, text), (2, ("a" * 1900 + " ") * 3)], "chunk_id long, content string")
+    assert {(r.chunk_id, r.item_cut) for r in split_items(df, "chunk_id", "content", 2000, 120).collect()} == {(1, "forced"), (2, "natural")}
