@@ -267,3 +267,49 @@ def test_prefix_families_and_length_limits_by_themselves(spark):
     got = {r.id: r.by for r in shortened_responses(df).collect()}
     assert got == dict.fromkeys((1000, 1001, 1002, 1003), "prompt") | dict.fromkeys((1005, 1007), "neighbour") | dict.fromkeys(range(2000, 2030), "length")
     assert shortened_responses(df.limit(0)).collect() == []
+
+
+def _translations(files, merge=None):
+    """Rows of made-up file pairs: ``files`` lists of English segments, German by a word for word code, ``merge`` joins target lines a to b."""
+    code = lambda w: w[::-1] + "en" if w.isalpha() else w
+    rows = []
+    for k, lines in enumerate(files):
+        de = [" ".join(code(w) for w in x.split()) for x in lines]
+        if merge and k == 0:
+            de = [*de[: merge[0]], " ".join(de[merge[0] : merge[1]]), *de[merge[1] :]]
+        rows.append((k, "EN", " _german_ ", "\n".join(lines), "\n".join(de)))
+    return rows
+
+
+FILE_PAIRS = "file_pair_id long, src_lang string, tgt_lang string, src_text string, tgt_text string"
+
+
+def test_alignment_of_merged_threes_and_fours_with_and_without_broadcast(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [a + b + c for a in "btk" for b in "aeiou" for c in ("lom", "rin", "sat", "dev")]
+    files = [[" ".join(rng.sample(words, 6)) + f" {rng.randint(10, 9999)}" for _ in range(9)] for _ in range(60)]
+    for merge in ((2, 5), (3, 7)):
+        df = spark.createDataFrame(_translations(files, merge), FILE_PAIRS)
+        got = sorted((r.file_pair_id, r.src_line, r.tgt_line) for r in align_files(df, "file_pair_id").collect())
+        a, b = merge
+        assert [(i, j) for k, i, j in got if k == 0] == [(i, i if i < a else a if i < b else i - (b - a - 1)) for i in range(9)]
+        assert [(i, j) for k, i, j in got if k == 7] == [(i, i) for i in range(9)]
+        assert sorted((r.file_pair_id, r.src_line, r.tgt_line) for r in align_files(df, "file_pair_id", limit=0).collect()) == got
+
+
+def test_alignment_of_long_segments_of_a_large_vocabulary(spark):
+    """Forty words a segment, 900 words: no cap leaves out the rare ones."""
+    import random
+
+    rng = random.Random(6)
+    words = [a + b + c + d for a in "btkmns" for b in "aeiou" for c in "lrdfg" for d in ("om", "in", "at", "ev", "ub", "iz")]
+    files = [[" ".join(rng.sample(words, 40)) + (f" {rng.randint(10, 9999)}" if n % 2 else "") for n in range(6)] for _ in range(120)]
+    rows = _translations(files)
+    rows = [(k, s, t, a, "\n".join([*b.split("\n")[1:], b.split("\n")[0]]) if k < 5 else b) for k, s, t, a, b in rows]
+    got = {}
+    for r in align_files(spark.createDataFrame(rows, FILE_PAIRS), "file_pair_id").collect():
+        got.setdefault(r.file_pair_id, set()).add((r.src_line, r.tgt_line))
+    assert all(got[k] == {(i, (i - 1) % 6) for i in range(6)} for k in range(5))
+    assert all(got[k] == {(i, i) for i in range(6)} for k in range(5, 120))
