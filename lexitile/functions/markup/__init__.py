@@ -10,18 +10,24 @@ from lexitile.functions.markup.typst import chunk_typst, segment_typst
 Segments = list[tuple[str, str]]
 
 
-def segment(text: str | None, kind: str, **options) -> Segments:
-    """Segments by chunk type; unknown types, and any text a scanner would not give back whole, are one placeholder.
+def checked(text: str | None, kind: str, **options) -> tuple[Segments, bool]:
+    """Segments by chunk type, and whether the scanner gave the text back whole; unknown types, and a text it did not give back, are one placeholder.
 
     NULL and '' have no segments.
     """
     if not text:
-        return []
+        return [], True
     scan = {"latex": segment_latex, "myst": segment_myst, "typst": segment_typst, "python": segment_code, "java": segment_code, "rust": segment_code}.get(kind)
     if scan is None:
-        return [("placeholder", text)]
+        return [("placeholder", text)], True
     found = [(k, c) for k, c in (scan(text, kind) if scan is segment_code else scan(text, **options)) if c]
-    return found if "".join(c for _, c in found) == text else [("placeholder", text)]
+    whole = "".join(c for _, c in found) == text
+    return found if whole else [("placeholder", text)], whole
+
+
+def segment(text: str | None, kind: str, **options) -> Segments:
+    """The segments of ``checked``."""
+    return checked(text, kind, **options)[0]
 
 
 def chunk(text: str | None, kind: str) -> list[dict]:

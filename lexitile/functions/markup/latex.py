@@ -1,4 +1,4 @@
-r"""LaTeX: a recursive scanner over positions.
+r"""LaTeX: a scanner over positions, nested groups on a stack of its own.
 
 Text is what a reader sees; commands, references, math, code and layout signs are placeholders. Math exposes only the
 arguments of text-like commands. Groups and environments nest; an unclosed one runs to the end of the text.
@@ -7,6 +7,9 @@ arguments of text-like commands. Groups and environments nest; an unclosed one r
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
+
+from lexitile.functions.markup.stack import run
 
 #: Commands and environments by how they are treated.
 WHOLE_COMMANDS = {"ref", "autoref", "cite", "label", "includegraphics", "input", "include", "frac", "sqrt", "path", "url", "href", "\\", "verb"}
@@ -46,8 +49,22 @@ def closing(s: str, i: int, end: int, left: str, right: str) -> int:
     return end
 
 
-def arguments(s: str, i: int, end: int) -> list[tuple[int, int]]:
-    """Bracket groups that follow position i directly or after blanks."""
+BRACE = re.compile(r"\\.|[{}]", re.S)
+
+
+def braces(s: str) -> dict[int, int]:
+    """Position after the brace that closes each one, in a single pass."""
+    out, opened = {}, []
+    for m in BRACE.finditer(s):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif m.group() == "}" and opened:
+            out[opened.pop()] = m.end()
+    return out | dict.fromkeys(opened, len(s) + 1)
+
+
+def arguments(s: str, i: int, end: int, pairs: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Bracket groups that follow position i directly or after blanks; ``pairs`` has the ends of braces found before."""
     out = []
     while True:
         j = i
@@ -56,7 +73,7 @@ def arguments(s: str, i: int, end: int) -> list[tuple[int, int]]:
         if j < end and s[j] == "[" and (j == i or not any(s[a] == "{" for a, _ in out)):
             k = closing(s, j, end, "[", "]")
         elif j < end and s[j] == "{":
-            k = closing(s, j, end, "{", "}")
+            k = min(pairs[j], end) if pairs and j in pairs else closing(s, j, end, "{", "}")
         else:
             return out
         out.append((j, k))
@@ -88,6 +105,10 @@ class Scanner:
     def __init__(self, s: str, whole: set[str], envs: set[str], math_text: set[str]):
         self.s, self.whole, self.envs, self.math_text = s, WHOLE_COMMANDS | whole, WHOLE_ENVS | envs, MATH_TEXT | math_text
         self.out: list[tuple[str, str]] = []
+        self.pairs = braces(s)
+
+    def close(self, i: int, end: int) -> int:
+        return min(self.pairs[i], end) if i in self.pairs else closing(self.s, i, end, "{", "}")
 
     def keep(self, content: str) -> None:
         if content:
@@ -97,7 +118,7 @@ class Scanner:
         if content:
             self.out.append(("text" if content.strip() else "placeholder", content))
 
-    def walk(self, i: int, end: int, math: bool = False, definition: bool = False) -> None:
+    def walk(self, i: int, end: int, math: bool = False, definition: bool = False) -> Generator:
         """Scan s[i:end]; in math everything but text commands is kept, in a definition math is kept whole."""
         s, start = self.s, i
         while i < end:
@@ -109,16 +130,16 @@ class Scanner:
                     j = m.end()
                 elif s[i + 1 : i + 2] in ("(", "[") and (found := math_end(s, i, end)):
                     self.flush(start, i, math)
-                    self.math(i, *found, whole=math or definition)
+                    yield self.math(i, *found, whole=math or definition)
                     i = start = found[2]
                     continue
                 elif (b := BEGIN.match(s, i, end)) and not math:
                     self.flush(start, i, math)
-                    i = start = self.environment(i, b, end)
+                    i = start = yield self.environment(i, b, end)
                     continue
                 else:
                     self.flush(start, i, math)
-                    i = start = self.command(i, end, math, definition)
+                    i = start = yield self.command(i, end, math, definition)
                     continue
             elif c == "%" and not math:
                 j = s.find("\n", i, end)
@@ -137,16 +158,16 @@ class Scanner:
                 found = math_end(s, i, end)
                 if found and not math:
                     self.flush(start, i, math)
-                    self.math(i, *found, whole=definition)
+                    yield self.math(i, *found, whole=definition)
                     i = start = found[2]
                     continue
                 j = i + 1
             elif c == "{" and not math:
-                k = closing(s, i, end, "{", "}")
+                k = self.close(i, end)
                 shut = k if s[k - 1] == "}" and k > i + 1 else None
                 self.flush(start, i, math)
                 self.keep("{")
-                self.walk(i + 1, k - 1 if shut else k, definition=definition)
+                yield self.walk(i + 1, k - 1 if shut else k, definition=definition)
                 self.keep("}" if shut else "")
                 i = start = k
                 continue
@@ -169,31 +190,31 @@ class Scanner:
     def flush(self, a: int, b: int, math: bool) -> None:
         (self.keep if math else self.text)(self.s[a:b])
 
-    def math(self, i: int, left: str, a: int, b: int, whole: bool) -> None:
+    def math(self, i: int, left: str, a: int, b: int, whole: bool) -> Generator:
         if whole:
             self.keep(self.s[i:b])
             return
         self.keep(left)
-        self.walk(i + len(left), a, math=True)
+        yield self.walk(i + len(left), a, math=True)
         self.keep(self.s[a:b])
 
-    def command(self, i: int, end: int, math: bool, definition: bool) -> int:
+    def command(self, i: int, end: int, math: bool, definition: bool) -> Generator:
         s, m = self.s, COMMAND.match(self.s, i, end)
         if m is None:
             self.keep(s[i:end])
             return end
         name = m.group(1).rstrip("*") or m.group(1)
-        args = arguments(s, m.end(), end) if m.group(1)[0].isalpha() else []
+        args = arguments(s, m.end(), end, self.pairs) if m.group(1)[0].isalpha() else []
         if math and name not in self.math_text:
             self.keep(m.group())
             return m.end()
         if name in DEFINITIONS and args:
             if name == "def":
                 k = s.find("{", m.end(), end)
-                args = [(k, closing(s, k, end, "{", "}"))] if k >= 0 else args
+                args = [(k, self.close(k, end))] if k >= 0 else args
             a, b = args[-1]
             self.keep(s[i : a + 1])
-            self.walk(a + 1, b - 1, definition=True)
+            yield self.walk(a + 1, b - 1, definition=True)
             self.keep(s[b - 1 : b])
             return b
         if name in self.whole:
@@ -203,7 +224,7 @@ class Scanner:
         at = i
         for a, b in args:
             self.keep(s[at : a + 1])
-            self.walk(a + 1, b - 1, definition=definition)
+            yield self.walk(a + 1, b - 1, definition=definition)
             self.keep(s[b - 1 : b])
             at = b
         if not args:
@@ -211,18 +232,18 @@ class Scanner:
             return m.end()
         return at
 
-    def environment(self, i: int, b: re.Match, end: int) -> int:
+    def environment(self, i: int, b: re.Match, end: int) -> Generator:
         s, name = self.s, b.group(1)
         a, z = env_end(s, name, b.end(), end)
-        head = args[-1][1] if (args := arguments(s, b.end(), a)) else b.end()
+        head = args[-1][1] if (args := arguments(s, b.end(), a, self.pairs)) else b.end()
         if name in self.envs or head >= a:
             self.keep(s[i:z])
             return z
         self.keep(s[i:head])
         if name in MATH_ENVS:
-            self.walk(head, a, math=True)
+            yield self.walk(head, a, math=True)
         else:
-            self.walk(head, a)
+            yield self.walk(head, a)
         self.keep(s[a:z])
         return z
 
@@ -231,7 +252,7 @@ def segment_latex(text: str, whole_commands: tuple[str, ...] = (), whole_envs: t
     if "\\end{document}" in text and "\\begin{document}" not in text:
         return [("placeholder", text)]
     scan = Scanner(text, set(whole_commands), set(whole_envs), set(text_commands))
-    scan.walk(0, len(text))
+    run(scan.walk(0, len(text)))
     return scan.out
 
 

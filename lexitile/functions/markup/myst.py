@@ -7,6 +7,9 @@ all others are kept whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
+
+from lexitile.functions.markup.stack import run
 
 #: Directives with a title and prose, options that hold prose, roles whose text is prose.
 TITLED = {"admonition", "attention", "caution", "danger", "error", "hint", "important", "note", "seealso", "tip", "warning", "aside", "sidebar", "topic", "dropdown"}
@@ -123,7 +126,7 @@ def blocks(lines: list[str], i: int, end: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def segment_lines(lines: list[str], i: int, end: int, top: bool, out: Segments) -> None:
+def segment_lines(lines: list[str], i: int, end: int, top: bool, out: Segments) -> Generator:
     """Segments of the lines, which keep their line ends."""
     bare = [x.rstrip("\r\n") for x in lines]
     at = i
@@ -134,18 +137,18 @@ def segment_lines(lines: list[str], i: int, end: int, top: bool, out: Segments)
         if kind in ("front", "math", "opaque"):
             out.append(("placeholder", "".join(lines[a:b])))
         elif kind == "fence":
-            fence(lines, bare, a, b, out)
+            yield fence(lines, bare, a, b, out)
         elif kind == "heading":
             m = HEADING.match(bare[a])
             out.append(("placeholder", m.group(1) + m.group(2)))
             out += inline(m.group(3))
             out.append(("placeholder", lines[a][m.end(3) :]))
         else:
-            prose(lines, bare, a, b, out)
+            yield prose(lines, bare, a, b, out)
     out.append(("placeholder", "".join(lines[at:end])))
 
 
-def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> None:
+def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> Generator:
     """Paragraphs, quotes and lists: marks and indents are placeholders; soft line ends are text outside of lists and quotes."""
     k, held, margin = a, "", ""
     while k < b:
@@ -154,7 +157,7 @@ def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> N
             out += inline(held)
             held = ""
             n = min(b, closing_line(bare, k + 1, b, f.group(2)) + 1)
-            fence(lines, bare, k, n, out)
+            yield fence(lines, bare, k, n, out)
             k = n
             continue
         line, prefix = lines[k], ""
@@ -187,7 +190,7 @@ def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> N
     out += inline(held)
 
 
-def fence(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> None:
+def fence(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> Generator:
     f = FENCE.match(bare[a])
     name = f.group(3)
     shut = b - 1 if b - 1 > a and re.match(r"^[ \t]*" + re.escape(f.group(2)[0]) + "{3,}[ \t]*$", bare[b - 1]) else b
@@ -212,7 +215,7 @@ def fence(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> N
             out.append(("placeholder", lines[k]))
         k += 1
     if name in PROSE_BODY:
-        segment_lines(lines, k, shut, False, out)
+        yield segment_lines(lines, k, shut, False, out)
     else:
         out.append(("placeholder", "".join(lines[k:shut])))
     out.append(("placeholder", "".join(lines[shut:b])))
@@ -225,7 +228,7 @@ def split_lines(text: str) -> list[str]:
 def segment_myst(text: str) -> Segments:
     out: Segments = []
     lines = split_lines(text)
-    segment_lines(lines, 0, len(lines), True, out)
+    run(segment_lines(lines, 0, len(lines), True, out))
     return out
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
+
+from lexitile.functions.markup.stack import run
 
 #: Named string arguments that are prose or never are, math functions that hold text, limits.
 PROSE_ARGS = {"caption", "description", "info", "subtitle", "summary", "title"}
@@ -18,20 +21,25 @@ LINE_MARK = re.compile(r"(?:={1,6}|[-+]|\d+\.|/)[ \t]+")
 PARBREAK = re.compile(r"\n[ \t]*(?:\r?\n[ \t]*)+")
 LABEL = re.compile(r"<[\w:.-]+>|@[\w:.-]*\w")
 LINK = re.compile(r"https?://[^\s\])}>]+")
-NAMED = re.compile(r"([A-Za-z_][\w-]*)(\s*:\s*)$")
+NAME = re.compile(r"[A-Za-z_][\w-]*")
 
 Segments = list[tuple[str, str]]
 
 
-def balanced(s: str, i: int, end: int) -> int:
-    """Position after the bracket that closes the one at i, strings, raw text and comments left aside."""
-    pair, stack = {"(": ")", "[": "]", "{": "}"}, []
+def balanced(s: str, i: int, end: int, known: dict[int, int] | None = None) -> int:
+    """Position after the bracket that closes the one at i, strings, raw text and comments left aside.
+
+    ``known`` takes the ends of all brackets passed, so that those inside need no scan of their own.
+    """
+    pair, stack, known = {"(": ")", "[": "]", "{": "}"}, [], {} if known is None else known
+    if i in known:
+        return min(known[i], end)
     while i < end:
         c = s[i]
         if c == "\\":
             i += 2
             continue
-        if c == '"' and (not stack or stack[-1] != "]") and (m := STRING.match(s, i, end)):
+        if c == '"' and (not stack or stack[-1][0] != "]") and (m := STRING.match(s, i, end)):
             i = m.end()
             continue
         if c == "`" and (m := RAW.match(s, i, end)):
@@ -40,19 +48,20 @@ def balanced(s: str, i: int, end: int) -> int:
         if s.startswith("//", i) and s[i - 1 : i] != ":":
             i = s.find("\n", i, end)
             if i < 0:
-                return end
+                break
             continue
         if c in pair:
-            stack.append(pair[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
+            stack.append((pair[c], i))
+        elif stack and c == stack[-1][0]:
+            known[stack.pop()[1]] = i + 1
             if not stack:
                 return i + 1
         i += 1
+    known.update((at, len(s) + 1) for _, at in stack)
     return end
 
 
-def code_end(s: str, i: int, end: int) -> tuple[str, int]:
+def code_end(s: str, i: int, end: int, known: dict[int, int] | None = None) -> tuple[str, int]:
     """Kind and end of the code that starts with the '#' at i."""
     m = HASH.match(s, i, end)
     if not m:
@@ -60,11 +69,11 @@ def code_end(s: str, i: int, end: int) -> tuple[str, int]:
     j = m.end()
     word = m.group(1)
     if m.group(3):
-        return ("code", balanced(s, i + 1, end)) if m.group(3) != '"' else ("code", STRING.match(s, i + 1, end).end() if STRING.match(s, i + 1, end) else j)
+        return ("code", balanced(s, i + 1, end, known)) if m.group(3) != '"' else ("code", STRING.match(s, i + 1, end).end() if STRING.match(s, i + 1, end) else j)
     if word in ("let", "set", "show", "import", "include", "return"):
         while j < end and s[j] not in "\n;":
             if s[j] in "([{":
-                j = balanced(s, j, end)
+                j = balanced(s, j, end, known)
             elif m2 := STRING.match(s, j, end):
                 j = m2.end()
             else:
@@ -72,14 +81,14 @@ def code_end(s: str, i: int, end: int) -> tuple[str, int]:
         return word, j
     if word:
         while j < end and s[j] not in "\n{[":
-            j = balanced(s, j, end) if s[j] == "(" else j + 1
+            j = balanced(s, j, end, known) if s[j] == "(" else j + 1
         while j < end and s[j] in "{[":
-            j = balanced(s, j, end)
+            j = balanced(s, j, end, known)
             k = re.compile(r"[ \t]*else\b[^\n{\[]*").match(s, j, end)
             j = k.end() if k else j
         return "control", j
     while j < end and s[j] in "([":
-        j = balanced(s, j, end)
+        j = balanced(s, j, end, known)
         k = re.compile(r"\.[A-Za-z_][\w-]*(?=[(\[])").match(s, j, end)
         j = k.end() if k else j
     return "call", j
@@ -100,9 +109,26 @@ def math_close(s: str, i: int, end: int) -> int:
     return -1
 
 
+def name_before(s: str, lo: int, at: int) -> str:
+    """The name whose ':' stands right before a position; ''."""
+    k = at
+    while k > lo and s[k - 1].isspace():
+        k -= 1
+    if k <= lo or s[k - 1] != ":":
+        return ""
+    k -= 1
+    while k > lo and s[k - 1].isspace():
+        k -= 1
+    z = k
+    while k > lo and (s[k - 1].isalnum() or s[k - 1] in "_-"):
+        k -= 1
+    m = NAME.search(s, k, z)
+    return m.group() if m and m.end() == z else ""
+
+
 class Scanner:
     def __init__(self, s: str, args_by_function: dict[str, list[str]]):
-        self.s, self.out = s, []
+        self.s, self.out, self.known = s, [], {}
         self.by_function = {k.strip().lower(): {x.strip().lower() for x in v} for k, v in args_by_function.items()}
 
     def keep(self, c: str) -> None:
@@ -114,14 +140,14 @@ class Scanner:
             self.out.append(("text", c))
 
     def is_prose(self, function: str, name: str) -> bool:
-        """Deny-list, then the function's own list, then the default list."""
+        """Deny-list, then the function's own list if it has one, else the default list."""
         name = name.lower()
         if name in NEVER_ARGS:
             return False
         own = self.by_function.get(function.lower())
-        return name in own if own is not None and name in own else name in PROSE_ARGS
+        return name in own if own is not None else name in PROSE_ARGS
 
-    def markup(self, i: int, end: int) -> None:
+    def markup(self, i: int, end: int) -> Generator:
         s, start = self.s, i
         while i < end:
             c, j = s[i], i
@@ -154,9 +180,9 @@ class Scanner:
                 i = start = j
                 continue
             elif c == "#":
-                kind, j = code_end(s, i, end)
+                kind, j = code_end(s, i, end, self.known)
                 self.text(s[start:i])
-                self.code(i, j, kind)
+                yield self.code(i, j, kind)
                 i = start = j
                 continue
             elif c in "<@" and (m := LABEL.match(s, i, end)):
@@ -193,7 +219,7 @@ class Scanner:
             at = m.end(1)
         self.keep(s[at:j])
 
-    def code(self, i: int, j: int, kind: str) -> None:
+    def code(self, i: int, j: int, kind: str) -> Generator:
         """Content blocks are markup; named string arguments are text where they are prose; all else is kept."""
         s = self.s
         name = HASH.match(s, i, j)
@@ -208,14 +234,15 @@ class Scanner:
         while k < j:
             c = s[k]
             if c == "[":
-                b = balanced(s, k, j)
+                b = balanced(s, k, j, self.known)
+                b -= self.known[k] <= j  # an unclosed block runs to the end
                 self.keep(s[at : k + 1])
-                self.markup(k + 1, b - 1)
-                at = k = b - 1
+                yield self.markup(k + 1, b)
+                at = k = b
                 k += 1
             elif c == '"' and (m := STRING.match(s, k, j)):
-                n = NAMED.search(s, max(at, k - 80), k)
-                if n and self.is_prose(function, n.group(1)):
+                n = name_before(s, at, k)
+                if n and self.is_prose(function, n):
                     self.keep(s[at : k + 1])
                     self.text(s[k + 1 : m.end() - 1])
                     at = m.end() - 1
@@ -231,7 +258,7 @@ class Scanner:
 
 def segment_typst(text: str, args_by_function: dict[str, list[str]] | None = None) -> Segments:
     scan = Scanner(text, args_by_function or {})
-    scan.markup(0, len(text))
+    run(scan.markup(0, len(text)))
     return [(k, c) for k, c in scan.out if c]
 
 

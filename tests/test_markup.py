@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexitile.functions.markup import chunk, segment
+from lexitile.functions.markup import checked, chunk, segment
 from lexitile.functions.units import build, coalesce, placeholder_only, reconstruct
 from lexitile.operators.chunking import long_pieces
 
@@ -43,10 +43,10 @@ def test_typst_chunks_join_to_the_source(source):
 
 
 def test_latex_text_math_and_commands():
-    s = "\\section*{Intro}\nSee $E=mc^2$ and \\ref{eq}.\n\\begin{align}\n a &= b \\text{Hello there}\n\\end{align}\n\\verb|x y| % a note\n"
+    s = "\\subsection*{Tides}\nThe height $h(t)=\\sin t$ of \\ref{fig:moon}.\n\\begin{gather}\n h_0 \\leq 3 \\text{metres at noon}\n\\end{gather}\n\\verb|low tide| % check twice\n"
     t, h = text_of(s, "latex"), held_of(s, "latex")
-    assert "Intro" in t and "Hello there" in t and "a note" in t
-    assert "E=mc^2" in h and "\\ref{eq}" in h and "\\verb|x y|" in h and "a &= b" in h
+    assert "Tides" in t and "metres at noon" in t and "check twice" in t
+    assert "h(t)=" in h and "\\ref{fig:moon}" in h and "\\verb|low tide|" in h and "h_0" in h
 
 
 def test_latex_definitions_expose_the_last_argument_only():
@@ -66,11 +66,11 @@ def test_latex_chunks():
 
 
 def test_myst_roles_directives_and_options():
-    s = ":::{admonition} Title here\n:class: tip\n- item `c`\n  detail\n:::\n\nThe {definiendum}`cat <feline>` and {term}`energy`.\n\n```{figure} a.png\n:alt: Alt words\n:width: 60%\nCaption\n```\n\n```{toctree}\nhidden/path\n```\n"
+    s = ":::{warning} Mind the gap\n:name: gap\n+ first `k`\n  second row\n:::\n\nA {definiendum}`harbour <port>` near {numref}`map-3`.\n\n```{figure} pier.svg\n:alt: Boats at the pier\n:width: 7cm\nOur pier\n```\n\n```{bibliography}\nlist/of/books\n```\n"
     t = text_of(s, "myst")
-    for w in ("Title here", "item", "detail", "cat", "feline", "Alt words", "Caption"):
+    for w in ("Mind the gap", "first", "second row", "harbour", "port", "Boats at the pier", "Our pier"):
         assert w in t
-    for w in ("energy", "tip", "60%", "a.png", "hidden"):
+    for w in ("map-3", "7cm", "pier.svg", "books"):
         assert w not in t
 
 
@@ -88,27 +88,33 @@ def test_myst_sections_and_size_rule():
 
 
 def test_typst_commands_strings_and_math():
-    s = '#figure(caption: [A small caption])[Body text]\n#ex(info: "Familles de lois", lang: "en")[More]\n$A x = b " where "$ and l\'été @ref <lab> // note\n'
+    s = '#rect(title: [Low water], width: 3cm)[Ebb and flood]\n#tide(summary: "Deux marées par jour", lang: "fr")[At night]\n$h = k dot " if calm " t$ and l\'île @moon <sec-9> // ask later\n'
     t = text_of(s, "typst")
-    for w in ("A small caption", "Body text", "Familles de lois", "More", " where ", "l'été", "note"):
+    for w in ("Low water", "Ebb and flood", "Deux marées par jour", "At night", " if calm ", "l'île", "ask later"):
         assert w in t
-    for w in ('"en"', "@ref", "<lab>", "A x = b"):
+    for w in ('"fr"', "@moon", "<sec-9>", "h = k dot"):
         assert w in held_of(s, "typst")
 
 
 def test_typst_arguments_by_function_and_deny_list():
-    s = '#custom(note: "Visible", id: "no")[Body]'
-    assert "Visible" not in text_of(s, "typst")
-    t = text_of(s, "typst", args_by_function={"Custom": [" note ", "id"]})
-    assert "Visible" in t and "no" not in t.replace("Visible", "")
+    """A function's own list answers alone; the default list is for functions without one; the deny-list goes before both."""
+    s = '#buoy(hint: "Seen from afar", title: "Heading", key: "no")[Body]'
+    assert "Heading" in text_of(s, "typst") and "afar" not in text_of(s, "typst")
+    t = text_of(s, "typst", args_by_function={"Buoy": [" hint ", "key"]})
+    assert "Seen from afar" in t and "Heading" not in t and "no" not in t
+    far = "#note(" + "a: 1, " * 60 + "title" + " " * 200 + ':\n "Late")'
+    assert "Late" in text_of(far, "typst")
 
 
 def test_typst_chunk_packing():
-    p1, p2, p3 = ("alpha " * 120) + "before $x+y$ after.\n\n", ("beta " * 120) + "middle sentence.\n\n", ("gamma " * 120) + "ending sentence.\n"
-    assert [c["content"] for c in chunk(p1 + p2 + p3, "typst")] == [p1 + p2, p3]
-    assert [c["content"] for c in chunk("Before $x + y$ #link(\"u\")[this] after.\n", "typst")] == ["Before $x + y$ #link(\"u\")[this] after.\n"]
-    command = "#figure(caption: [A caption])[Body text]"
-    assert any(command in c["content"] for c in chunk(("w " * 990) + command + "\n" + "tail " * 80, "typst"))
+    sea = [" ".join(f"{w}{n}" for n in range(110)) for w in ("salt", "wave", "sand")]
+    one, two, three = sea[0] + " with $p/q$ inside.\n\n", sea[1] + " as well.\n\n", sea[2] + " at last.\n"
+    assert len(one + two) <= 2000 < len(one + two + three)
+    assert [c["content"] for c in chunk(one + two + three, "typst")] == [one + two, three]
+    short = 'See $u / v$ and #link("w")[that map] there.\n'
+    assert [c["content"] for c in chunk(short, "typst")] == [short]
+    call = "#rect(title: [Low water])[Ebb and flood]"
+    assert any(call in c["content"] for c in chunk(sea[0] + " " + sea[1] + " " + sea[2] + " " + call + "\n" + sea[0], "typst"))
 
 
 def test_code_comments_and_strings():
@@ -142,3 +148,21 @@ def test_long_pieces(text, limit):
     assert "".join(p) == text and all(len(x) <= limit + 1 for x in p)
     for x in p[:-1]:
         assert re.search(r"\s\Z", x) or len(x) == limit
+
+
+@pytest.mark.parametrize("depth", [10_000])
+@pytest.mark.parametrize(("kind", "left", "right"), [("latex", "{", "}"), ("latex", "{", ""), ("latex", "\\emph{", "}"), ("typst", "#f[", "]"), ("typst", "#f[", "")])
+def test_deep_nesting(kind, left, right, depth):
+    source = left * depth + "x" + right * depth
+    found, whole = checked(source, kind)
+    assert whole and "".join(c for _, c in found) == source and ("text", "x") in found
+
+
+def test_nested_directives():
+    source = "".join(":" * (1003 - n) + "{note}\n" for n in range(1000)) + "x\n"
+    found, whole = checked(source, "myst")
+    assert whole and ("text", "x") in found
+
+
+def test_unknown_kinds_are_one_placeholder():
+    assert checked("a", "other") == ([("placeholder", "a")], True) and checked(None, "latex") == ([], True)
