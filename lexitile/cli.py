@@ -32,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
     add("list-llms")
     add("set-typst-func-args", arg("function"), arg("args", nargs="+"))
     add("unset-typst-func-args", arg("function"))
-    add("translate", arg("what", choices=["file", "all"]), arg("lang"), arg("file", nargs="?"), arg("--service", default=None))
+    add("translate", arg("what", choices=["file", "all"]), arg("lang"), arg("file", nargs="?"), arg("--service", default=None), arg("--vocabulary", default=None), arg("--use-reasoning-model", action="store_true"))
+    add("correct", arg("lang"), arg("file", nargs="?"))
     add("cache", arg("action", choices=["sync", "clear"]), arg("--lang"), arg("--file"), arg("--keyword"), arg("--all", action="store_true"), arg("--missing-chunks", action="store_true"))
     return p
 
@@ -73,6 +74,8 @@ def run(argv: list[str], cwd: Path | None = None) -> list[str]:
             return translate(p, a)
         case "cache":
             return cache(p, a)
+        case "correct":
+            return correct(p, a)
     return []
 
 
@@ -94,20 +97,46 @@ def cache(p: Project, a: argparse.Namespace) -> list[str]:
     return [str(files.clear(spark, p, a.lang, p.relative_path(Path(a.file)) if a.file else None, a.keyword))]
 
 
+def terms_of(path: str | None, src: str, tgt: str) -> str:
+    """``source=target`` lines of a vocabulary CSV with a column for each language; cells are trimmed, rows without either are left out."""
+    import csv
+
+    if path is None:
+        return ""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = [{k.strip().lower(): (v or "").strip() for k, v in r.items() if k} for r in csv.DictReader(f)]
+    pairs = [(r.get(src.lower(), ""), r.get(tgt.lower(), "")) for r in rows]
+    return "".join(f"{a}={b}\n" for a, b in pairs if a and b)
+
+
 def translate(p: Project, a: argparse.Namespace) -> list[str]:
     from pyspark.sql import SparkSession
 
     from lexitile.operators.translation import Ladder
     from lexitile.project import SERVICES, files, language
 
-    service = a.service or p.route()[0]
-    if service not in SERVICES:
-        raise ProjectError(f"no service {service!r}")
+    service, model, second, stronger = p.route(a.use_reasoning_model)
+    service = a.service or service
+    for name in (service, second):
+        if name is not None and name not in SERVICES:
+            raise ProjectError(f"no service {name!r}")
+    lang = language(a.lang)
+    ladder = Ladder(SERVICES[service].model(model), SERVICES[second].model(stronger) if second and stronger else None, cooldown=SERVICES[service].cooldown)
     only = p.relative_path(Path(a.file)) if a.what == "file" else None
-    done = files.translate(SparkSession.builder.getOrCreate(), p, language(a.lang), Ladder(SERVICES[service]), only=only)
+    terms = terms_of(a.vocabulary, p.config.source["lang"] if p.config.source else "", lang)
+    done = files.translate(SparkSession.builder.getOrCreate(), p, lang, ladder, terms, only=only)
     return [" ".join(map(str, r)) for r in done.collect()]
 
 
+def correct(p: Project, a: argparse.Namespace) -> list[str]:
+    from pyspark.sql import SparkSession
+
+    from lexitile.project import files, language
+
+    only = p.relative_path(Path(a.file)) if a.file else None
+    return [" ".join(map(str, r)) for r in files.correct(SparkSession.builder.getOrCreate(), p, language(a.lang), only).collect()]
+
+
 if __name__ == "__main__":
     import sys
 

@@ -50,12 +50,23 @@ class Ladder:
     first_wait: float = FIRST_WAIT
     longest_wait: float = LONGEST_WAIT
     sleep: Callable[[float], None] = time.sleep
+    #: Seconds to rest after each answer.
+    cooldown: float = 0.0
+    #: Translatable string arguments by Typst function.
+    typst_args: dict[str, list[str]] = field(default_factory=dict)
+
+    def options(self, kind: str) -> dict:
+        """Options of the scanner for a kind of chunk."""
+        return {"args_by_function": self.typst_args} if kind == "typst" and self.typst_args else {}
 
     def patient(self, model: Model, prompt: str) -> str:
         wait = self.first_wait or 1.0
         for n in range(1, max(1, self.attempts) + 1):
             try:
-                return model(prompt)
+                reply = model(prompt)
+                if self.cooldown > 0:
+                    self.sleep(self.cooldown)
+                return reply
             except Overloaded:
                 if n >= self.attempts:
                     raise
@@ -90,10 +101,10 @@ def unit_prompt(xml: str, kind: str, target: str, terms: str, example: tuple[str
     return text
 
 
-def subchunks(text: str, limit: int = SUBCHUNK) -> list[str]:
+def subchunks(text: str, limit: int = SUBCHUNK, **options) -> list[str]:
     """Parts of an oversized Typst chunk: segments packed up to the limit, only text is cut, other segments stand whole."""
     parts, held = [], ""
-    for kind, content in segment(text, "typst"):
+    for kind, content in segment(text, "typst", **options):
         for piece in long_pieces(content, limit) if kind == "text" and len(content) > limit else [content]:
             if held and len(held) + len(piece) > limit:
                 parts.append(held)
@@ -103,16 +114,27 @@ def subchunks(text: str, limit: int = SUBCHUNK) -> list[str]:
     return parts if "".join(parts) == text else [text]
 
 
+def translate_unit(ladder: Ladder, text: str, kind: str, target: str, terms: str = "", example: tuple[str, str] | None = None) -> str:
+    xml, held = build(segment(text, kind, **ladder.options(kind)))
+    return ladder.unit(unit_prompt(xml, kind, target, terms, example), held)
+
+
+def parts_of(ladder: Ladder, text: str, kind: str) -> list[str]:
+    """The parts in which a chunk is translated: several for oversized Typst."""
+    return subchunks(text, **ladder.options(kind)) if kind == "typst" and len(text) > SUBCHUNK else [text]
+
+
 def translate_chunk(ladder: Ladder, text: str, kind: str, target: str, terms: str = "", example: tuple[str, str] | None = None) -> str:
     """One chunk without the memory: oversized Typst in parts, everything else as one unit."""
-    if kind == "typst" and len(text) > SUBCHUNK and len(parts := subchunks(text)) > 1:
-        return "".join(p if passes_through(p, kind) else translate_chunk(ladder, p, kind, target, terms) for p in parts)
-    xml, held = build(segment(text, kind))
-    return ladder.unit(unit_prompt(xml, kind, target, terms, example), held)
+    parts = parts_of(ladder, text, kind)
+    if len(parts) == 1:
+        return translate_unit(ladder, text, kind, target, terms, example)
+    return "".join(p if passes_through(p, kind, ladder) else translate_unit(ladder, p, kind, target, terms) for p in parts)
 
 
-def passes_through(text: str, kind: str) -> bool:
-    return not text.strip() or kind in ("code", "python", "java", "rust") or placeholder_only(segment(text, kind), kind == "typst")
+def passes_through(text: str, kind: str, ladder: Ladder | None = None) -> bool:
+    options = ladder.options(kind) if ladder else {}
+    return not text.strip() or kind in ("code", "python", "java", "rust") or placeholder_only(segment(text, kind, **options), kind == "typst")
 
 
 def translate_snapshot(chunks: DataFrame, memory: DataFrame, ladder: Ladder, terms: str = "") -> DataFrame:
@@ -132,7 +154,7 @@ def translate_snapshot(chunks: DataFrame, memory: DataFrame, ladder: Ladder, ter
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                if passes_through(r.content, r.kind):
+                if passes_through(r.content, r.kind, ladder):
                     rows.append((r.content, "passed"))
                     continue
                 try:
@@ -211,31 +233,43 @@ def sha(text: str) -> str:
 
 
 def translate_file(rows: list[dict], memory: FileMemory, ladder: Ladder, terms: str = "") -> list[dict]:
-    """Ordered chunks of one file; of repeated chunks the later ones count as new in the run that translated the first."""
+    """Ordered chunks of one file; of repeated chunks the later ones count as new in the run that translated the first.
+
+    The parts of an oversized Typst chunk go through the memory one by one; the chunk is from the memory if all of them are.
+    """
     fresh: set[tuple[str, str, str]] = set()
-    out = []
-    for r in rows:
-        text, kind, a, b = r["content"], r["kind"], r["src_lang"], r["tgt_lang"]
-        if text is None or not text.strip():
-            out.append(r | {"translated": text, "from_cache": True, "status": "null" if text is None else "passed"})
-            continue
+
+    def one(text: str, kind: str, a: str, b: str) -> tuple[str, bool, str]:
+        """Translation of a chunk or part, whether it is from the memory, and its status."""
         key = (a, b, sha(text))
         known = memory.pairs.get(key) if a != b else None
         if known is not None:
-            out.append(r | {"translated": known, "from_cache": key not in fresh, "status": "cached"})
-            continue
-        if passes_through(text, kind):
+            return known, key not in fresh, "cached"
+        if passes_through(text, kind, ladder):
             memory.put(a, b, text, text)
-            out.append(r | {"translated": text, "from_cache": True, "status": "passed"})
+            return text, True, "passed"
+        parts = parts_of(ladder, text, kind)
+        if len(parts) > 1:
+            done = [one(p, kind, a, b) if p.strip() else (p, True, "passed") for p in parts]
+            t, cached = "".join(d[0] for d in done), all(d[1] for d in done)
+        else:
+            t, cached = translate_unit(ladder, text, kind, b, terms, memory.example(a, b, text)), False
+        if not cached:
+            fresh.add(key)
+        memory.put(a, b, text, t)
+        return t, cached, "cached" if cached else "translated"
+
+    out = []
+    for r in rows:
+        text = r["content"]
+        if text is None or not text.strip():
+            out.append(r | {"translated": text, "from_cache": True, "status": "null" if text is None else "passed"})
             continue
         try:
-            t = translate_chunk(ladder, text, kind, b, terms, memory.example(a, b, text))
+            t, cached, status = one(text, r["kind"], r["src_lang"], r["tgt_lang"])
         except Exception:  # noqa: BLE001
-            out.append(r | {"translated": text, "from_cache": False, "status": "failed"})
-            continue
-        fresh.add(key)
-        memory.put(a, b, text, t)
-        out.append(r | {"translated": t, "from_cache": False, "status": "translated"})
+            t, cached, status = text, False, "failed"
+        out.append(r | {"translated": t, "from_cache": cached, "status": status})
     return out
 
 

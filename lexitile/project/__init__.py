@@ -137,7 +137,8 @@ class Project:
         path = self.target(lang)
         self.config.targets = [t for t in self.config.targets if t["lang"] != language(lang)]
         self.save()
-        shutil.rmtree(path, ignore_errors=True)
+        if path.exists():
+            shutil.rmtree(path)
 
     def mark(self, path: Path, translatable: bool = True) -> None:
         """Marks a source file; marking twice is the same, unmarking a file that is not marked is an error."""
@@ -165,12 +166,10 @@ class Project:
         self.save()
 
     def route(self, use_reasoning: bool = False) -> tuple[str, str, str | None, str | None]:
-        """Main and fallback model; the reasoning flag makes the reasoning model the main one and leaves no fallback."""
+        """Main and fallback model; the reasoning flag makes the reasoning model the main one, where there is none the usual one, and leaves no fallback."""
         c = self.config
         if use_reasoning:
-            if not c.reasoning_service or not c.reasoning_model:
-                raise ProjectError("no reasoning model")
-            return c.reasoning_service, c.reasoning_model, None, None
+            return c.reasoning_service or c.service, c.reasoning_model or c.model, None, None
         return c.service, c.model, c.reasoning_service, c.reasoning_model
 
     def set_typst_args(self, function: str, args: list[str]) -> None:
@@ -210,12 +209,30 @@ class Project:
         return n
 
 
-SERVICES: dict[str, object] = {}
+@dataclass(frozen=True)
+class Service:
+    """A model service: a callable ``(prompt, model, token) -> reply``, or ``prompt -> reply``, seconds to rest after an answer, and what identifies the caller."""
 
+    call: object
+    cooldown: float = 0.0
+    token: str | None = None
 
-def register_service(name: str, factory) -> None:
+    def model(self, name: str):
+        """The service as ``prompt -> reply`` for one of its models."""
+        import inspect
+
+        if len(inspect.signature(self.call).parameters) < 3:
+            return self.call
+        call, token = self.call, self.token
+        return lambda prompt: call(prompt, name, token)
+
+
+SERVICES: dict[str, Service] = {}
+
+
+def register_service(name: str, call, cooldown: float = 0.0, token: str | None = None) -> None:
     """Makes a model service known by name; files are never loaded by themselves."""
-    SERVICES[name] = factory
+    SERVICES[name] = Service(call, cooldown, token)
 
 
 def services() -> list[str]:

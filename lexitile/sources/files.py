@@ -52,6 +52,12 @@ def notebook_checksums(content: Column) -> Column:
     return F.transform(cells, lambda c: c["metadata"]["src_checksum"])
 
 
+def notebook_tags(content: Column) -> Column:
+    """``ARRAY<ARRAY<STRING>>``: the tags of each cell; NULL where it is no notebook."""
+    cells = F.from_json(F.get_json_object(content, "$.cells"), "array<struct<metadata:struct<tags:array<string>>>>")
+    return F.transform(cells, lambda c: c["metadata"]["tags"])
+
+
 def notebook_with(content: Column, sources: Column, flags: Column) -> Column:
     """The notebook with new cell sources and review tags in order; all other keys of notebook, cells and metadata stay.
 
@@ -74,6 +80,9 @@ def fill_notebook(content: str, sources: list[str | None], flags: list[str]) ->
         meta = cell.setdefault("metadata", {})
         meta["src_checksum"] = hashlib.sha256(old.encode("utf-8")).hexdigest()
         tags = [t for t in meta.get("tags", []) if t not in REVIEW_TAGS] + ([flag] if flag else [])
+        meta.pop(REVIEW_TAGS[1], None)
+        if flag == REVIEW_TAGS[1]:
+            meta[flag] = "True"
         if tags or "tags" in meta:
             meta["tags"] = tags
         cell["source"] = source.splitlines(keepends=True) if isinstance(cell.get("source"), list) else source

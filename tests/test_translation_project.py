@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,127 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.tgt_checksum, r.row_id, r.adopted) for r in got] == [("b", 1, True)]
+
+
+FORMATS = {
+    "tide.tex": "\\section{Tide}\n\nHigh water comes twice.\n\nLow water.\n\nHigh water comes twice.\n",
+    "tide.md": "# Tide\n\nHigh water.\n\n# Moon\n\nFull.\n\n# Tide\n\nHigh water.\n",
+    "tide.typ": "= Tide\n\nHigh water.\n\n= Moon\n\nFull.\n\n= Tide\n\nHigh water.\n",
+    "book.md": "---\njupytext:\n  text_representation:\n    extension: .md\n    format_name: myst\n---\n# Tide\n\nHigh water.\n\n# Moon\n\nFull.\n",
+}
+
+
+def _marks(text):
+    """Whether each cell of a target file is marked for review, in order."""
+    return ["needs_review: True" in block for block in text.split("CHUNK_METADATA_START")[1:]]
+
+
+def test_review_marks_of_two_passes_in_every_format(spark, project):
+    """New chunks are marked, also repeated ones; a second pass keeps what was marked and what was taken off by hand."""
+    register_service("shout", shout)
+    run(["set-target", "French"], project)
+    for name, text in FORMATS.items():
+        (project / "en" / name).write_text(text, encoding="utf-8")
+    cells = [{"cell_type": "markdown", "metadata": {}, "source": x} for x in ("High water", "Moon", "High water")]
+    (project / "en" / "n.ipynb").write_text(json.dumps({"cells": cells, "metadata": {}, "nbformat": 4}), encoding="utf-8")
+    run(["add", *(f"en/{n}" for n in FORMATS), "en/n.ipynb"], project)
+    run(["translate", "all", "French", "--service", "shout"], project)
+    out = project / "course_fr"
+    first = {n: (out / n).read_text(encoding="utf-8") for n in FORMATS}
+    assert first["book.md"].startswith("---\njupytext:") and "T:" in first["book.md"]
+    for name, text in first.items():
+        assert "needs_review: False" not in text and _marks(text) == [True] * len(_marks(text)) and len(_marks(text)) >= 2, name
+        (out / name).write_text(text.replace("% needs_review: True\n", "", 1).replace("// needs_review: True\n", "", 1), encoding="utf-8")
+    book = json.loads((out / "n.ipynb").read_text(encoding="utf-8"))
+    assert [c["metadata"]["tags"] for c in book["cells"]] == [["needs_review"]] * 3
+    book["cells"][1]["metadata"]["tags"] = ["kept"]
+    (out / "n.ipynb").write_text(json.dumps(book), encoding="utf-8")
+    run(["translate", "all", "French", "--service", "shout"], project)
+    for name in FORMATS:
+        again = _marks((out / name).read_text(encoding="utf-8"))
+        checks = [b.split("src_checksum: ")[1].split()[0] for b in first[name].split("CHUNK_METADATA_START")[1:]]
+        assert again == [c != checks[0] for c in checks], name
+    book = json.loads((out / "n.ipynb").read_text(encoding="utf-8"))
+    assert [c["metadata"].get("tags", []) for c in book["cells"]] == [["needs_review"], [], ["needs_review"]]
+
+
+def test_failed_chunks_say_so_and_text_notebooks_are_synchronised(spark, project):
+    def fails(prompt):
+        raise ValueError("no answer")
+
+    register_service("fails", fails)
+    register_service("shout", shout)
+    run(["set-target", "French"], project)
+    (project / "en" / "book.md").write_text(FORMATS["book.md"], encoding="utf-8")
+    run(["add", "en/book.md"], project)
+    run(["translate", "all", "French", "--service", "fails"], project)
+    text = (project / "course_fr" / "book.md").read_text(encoding="utf-8")
+    assert "not-translated-due-to-exception: True" in text and "needs_review" not in text and "High water." in text
+    run(["translate", "all", "French", "--service", "shout"], project)
+    run(["cache", "clear", "--all"], project)
+    assert run(["cache", "sync"], project) == ["French 2"]
+
+
+def test_correction_takes_hand_made_changes_over(spark, project):
+    from lexitile.project.files import memory
+
+    register_service("shout", shout)
+    run(["set-target", "French"], project)
+    for n in ("tide.md", "tide.typ"):
+        (project / "en" / n).write_text(FORMATS[n], encoding="utf-8")
+    run(["add", "en/tide.md", "en/tide.typ"], project)
+    run(["translate", "all", "French", "--service", "shout"], project)
+    assert sorted(run(["correct", "French"], project)) == ["tide.md 0", "tide.typ 0"]
+    target = project / "course_fr" / "tide.md"
+    target.write_text(target.read_text(encoding="utf-8").replace("Full", "Pleine lune"), encoding="utf-8")
+    assert run(["correct", "French", "en/tide.typ"], project) == ["tide.typ 0"] and run(["correct", "French", "en/tide.md"], project) == ["tide.md 1"]
+    assert [r.translated for r in memory(spark, Project.load(project)).collect() if r.content.startswith("# Moon") and r.path == "tide.md"][0].count("Pleine lune") == 1
+    assert run(["correct", "French", "en/tide.md"], project) == ["tide.md 0"]
+    with pytest.raises(ProjectError):
+        run(["correct", "German"], project)
+
+
+def test_models_arguments_and_terms_reach_the_translation(spark, project):
+    seen = []
+
+    def big(prompt, model, token):
+        Path(token).open("a", encoding="utf-8").write(f"{model}|{prompt}\x1e")
+        return shout(prompt)
+
+    register_service("big", big, token=str(project / "log"))
+    run(["set-target", "French"], project)
+    (project / "en" / "c.typ").write_text('#buoy(hint: "Seen from afar", title: "Heading")[Body]\n', encoding="utf-8")
+    (project / "terms.csv").write_text("English,French\n afar , loin\nnone,\n", encoding="utf-8")
+    run(["add", "en/c.typ"], project)
+    run(["set-llm", "big", "small"], project)
+    assert Project.load(project).route(True) == ("big", "small", None, None)
+    run(["set-reasoning-model", "big", "large"], project)
+    run(["set-typst-func-args", "buoy", "hint"], project)
+    run(["translate", "all", "French", "--use-reasoning-model", "--vocabulary", str(project / "terms.csv")], project)
+    seen = [x for x in (project / "log").read_text(encoding="utf-8").split("\x1e") if x]
+    assert len(seen) == 1 and seen[0].startswith("large|") and "afar=loin\n" in seen[0] and "none" not in seen[0]
+    assert "Seen from afar" in seen[0] and '<PH id="1">#buoy(hint: "</PH>Seen' in seen[0] and 'title: "Heading"' in seen[0]
+
+
+def test_parts_of_oversized_chunks_go_through_the_memory():
+    text = " ".join(f"word{n}" for n in range(400)) + " #f[" + " ".join(f"more{n}" for n in range(300)) + "]"
+    calls = []
+
+    def model(prompt):
+        calls.append(prompt)
+        return shout(prompt)
+
+    row = {"chunk_id": 1, "kind": "typst", "src_lang": "English", "tgt_lang": "French", "content": text, "ordinal": 0}
+    m = FileMemory()
+    first = translate_file([row], m, Ladder(model))[0]
+    n = len(calls)
+    assert n > 1 and not first["from_cache"]
+    m.pairs = {k: v for k, v in m.pairs.items() if v != first["translated"]}  # the parts alone are left
+    again = translate_file([row], m, Ladder(model))[0]
+    assert len(calls) == n and again["from_cache"] and again["translated"] == first["translated"]
+
+
+def test_rest_after_each_answer():
+    rests = []
+    ladder = Ladder(lambda p: "<output>x</output>", cooldown=2.5, sleep=rests.append)
+    assert ladder.patient(ladder.model, "p") and rests == [2.5]
