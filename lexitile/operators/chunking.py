@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexitile.functions.markup import chunk, segment
+from lexitile.functions.markup import checked, chunk, segment
 from lexitile.functions.units import build, placeholder_only, reconstruct
 
 SEGMENT = "array<struct<kind:string,content:string>>"
@@ -97,14 +97,23 @@ def section_chunks(pieces: DataFrame, file: list[str], ordinal: str, limit: int)
 
 
 def greedy_pack(lengths: Column, limit: int) -> Column:
-    """Sizes of the packs of ordered lengths: a new pack starts where the limit would be passed; a longer one stands alone."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("cur"), F.array().cast("array<bigint>").alias("out"))
+    """Sizes of the packs of ordered lengths: a new pack starts where the limit would be passed; a longer one stands alone. Linear in the lengths."""
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["cur"] > 0) & (acc["cur"] + x > limit)
-        return F.struct(F.when(full, x).otherwise(acc["cur"] + x).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
+    @F.pandas_udf("array<bigint>")
+    def run(sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else packs([int(n) for n in x], limit) for x in sizes])
 
-    return F.aggregate(lengths, zero, step, lambda a: F.when(a["cur"] > 0, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]))
+    return run(lengths)
+
+
+def packs(sizes: list[int], limit: int) -> list[int]:
+    out, held = [], 0
+    for n in sizes:
+        if held and held + n > limit:
+            out.append(held)
+            held = 0
+        held += n
+    return [*out, held] if held else out
 
 
 def split_long(text: Column, limit: int) -> Column:
@@ -131,13 +140,47 @@ def long_pieces(text: str, limit: int) -> list[str]:
 
 
 def coalesced(segments: Column) -> Column:
-    """Neighbouring placeholders merged, a bare line end stays alone, neighbouring texts joined: one fold, no Python."""
-    typed = F.transform(segments, lambda s: F.struct(F.when(s["kind"] == "text", "text").otherwise("placeholder").alias("kind"), s["content"].alias("content")))
+    """Neighbouring placeholders merged, a bare line end stays alone, neighbouring texts joined.
+
+    The places where a run begins are marked first and each run is joined once, so the work is linear in the segments.
+    """
+    typed = F.transform(F.filter(segments, lambda s: s["content"] != ""), lambda s: F.struct(F.when(s["kind"] == "text", "text").otherwise("placeholder").alias("kind"), s["content"].alias("content")))
+
+    def runs(t: Column) -> Column:
+        def begins(i: Column) -> Column:
+            here, last = F.get(t, i), F.get(t, i - 1)
+            bare = (here["kind"] == "placeholder") & ((here["content"] == "\n") | (last["content"] == "\n"))
+            return (i == 0) | (here["kind"] != last["kind"]) | bare
+
+        n = F.size(t)
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), begins)
+        each = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n)).alias("z"))  # each start with the next one
+        return F.transform(F.slice(each, 1, F.size(starts)), lambda r: F.struct(F.get(t, r["a"])["kind"].alias("kind"), F.array_join(F.transform(F.slice(t, r["a"] + 1, r["z"] - r["a"]), lambda s: s["content"]), "").alias("content")))
+
+    # A one-element array evaluates the inner expression once.
+    return F.flatten(F.transform(F.array(typed), runs))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (last["kind"] == s["kind"]) & ~((s["kind"] == "placeholder") & ((s["content"] == "\n") | (last["content"] == "\n")))
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["kind"].alias("kind"), F.concat(last["content"], s["content"]).alias("content"))))
-        return F.when(joins, merged).otherwise(F.concat(acc, F.array(s)))
+def built(segments: Column) -> Column:
+    """The XML unit of segments with its placeholders, whether there is no text, and whether none but white space."""
 
-    return F.aggregate(F.filter(typed, lambda s: s["content"] != ""), F.array().cast(SEGMENT), step)
+    @F.pandas_udf("struct<xml:string,placeholders:map<string,string>,ph_only:boolean,ph_only_blank:boolean>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            pairs = [(y["kind"], y["content"]) for y in x]
+            xml, held = build(pairs)
+            rows.append((xml, held, placeholder_only(pairs), placeholder_only(pairs, True)))
+        return pd.DataFrame(rows, columns=["xml", "placeholders", "ph_only", "ph_only_blank"])
+
+    return run(segments)
+
+
+def given_back(text: Column, kind: Column) -> Column:
+    """Whether the scanner of a kind gives the text back whole; where not, the text is one placeholder."""
+
+    @F.pandas_udf("boolean")
+    def run(t: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([checked(a, b)[1] for a, b in zip(t, k)])
+
+    return run(text, kind)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexitile.functions.keys import LANGUAGES, clean_key
 
@@ -139,17 +138,23 @@ def corrections(targets: DataFrame, long: DataFrame) -> DataFrame:
     return found.join(targets.select("request_id", "new"), "request_id").where(F.col("tgt_checksum") != F.col("new")).select("request_id", F.col("tgt_checksum").alias("old"), "new")
 
 
+def first_cells(cells: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first cell in order of each group of keys."""
+    rest = [c for c in cells.columns if c not in (*keys, *order)]
+    return cells.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("f")).select(*keys, *[f"f.{c}" for c in (*order, *rest)])
+
+
 def review_flags(cells: DataFrame, previous: DataFrame) -> DataFrame:
     """Review metadata of new cells: a new translation is flagged, a hit keeps its old flag, a failure names itself.
 
     ``cells``: ``cell_id, path, src_checksum, ordinal, hit, failed``; ``previous``: ``path, src_checksum, ordinal, needs_review``. Of
     repeated chunks in a file the first decides whether it came from memory; of old cells with one checksum the first counts.
     """
-    old = previous.groupBy("path", "src_checksum").agg(F.min(F.struct("ordinal", "needs_review"))["needs_review"].alias("old"))
-    w = Window.partitionBy("path", "src_checksum").orderBy("ordinal", "cell_id")
-    c = cells.withColumn("from_cache", F.first("hit").over(w))
+    key = ["path", "src_checksum"]
+    old = first_cells(previous.select(*key, "ordinal", "needs_review"), key, "ordinal").select(*key, F.col("needs_review").alias("old"))
+    first = first_cells(cells.select(*key, "ordinal", "cell_id", "hit"), key, "ordinal", "cell_id").select(*key, F.col("hit").alias("from_cache"))
     flag = F.when(F.col("failed"), "not-translated-due-to-exception").when(~F.col("from_cache"), "needs_review").when(F.col("old"), "needs_review").otherwise("")
-    return c.join(old, ["path", "src_checksum"], "left").select("cell_id", flag.alias("flag"))
+    return cells.join(first, key, "left").join(old, key, "left").select("cell_id", flag.alias("flag"))
 
 
 def keyword_filter(c: Column, keyword: str) -> Column:

@@ -67,16 +67,27 @@ def q_coalesce(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_ph_only(spark: SparkSession, d: str) -> DataFrame:
-    s = _inline(spark, d)
-    return s.select("doc_id", (~F.exists("segments", lambda x: x["kind"] == "text")).alias("ph_only"), (~F.exists("segments", lambda x: (x["kind"] == "text") & ~is_blank(x["content"]))).alias("ph_only_blank"))
+    u = _inline(spark, d).select("doc_id", C.built(F.col("segments")).alias("u"))
+    return u.select("doc_id", "u.ph_only", "u.ph_only_blank")
 
 
 def q_xml_unit(spark: SparkSession, d: str) -> DataFrame:
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
-    s = _inline(spark, d).select("doc_id", C.coalesced(F.col("segments")).alias("s"))
-    n = lambda i: F.size(F.filter(F.slice(F.col("s"), 1, i + 1), lambda y: y["kind"] == "placeholder")).cast("string")
-    parts = F.transform("s", lambda x, i: F.when(x["kind"] == "text", esc(x["content"])).otherwise(F.concat(F.lit('<PH id="'), n(i), F.lit('">'), esc(x["content"]), F.lit("</PH>"))))
-    return s.select("doc_id", content_checksum(F.concat(F.lit("<document><TEXT>"), F.array_join(parts, ""), F.lit("</TEXT></document>"))).alias("sha"))
+    return _inline(spark, d).select("doc_id", C.built(F.col("segments")).alias("u")).select("doc_id", content_checksum(F.col("u.xml")).alias("sha"))
+
+
+def q_given_back(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents and recovered sources by type, and those a scanner does not give back whole."""
+    docs = _docs(spark, d).select("kind", "text")
+    pairs = table(spark, d, "recovered_pairs").where("src_text is not null").select("pair_id", F.col("chunk_type").alias("kind"), F.col("src_text").alias("text")).dropDuplicates(["pair_id"]).drop("pair_id")
+    whole = docs.unionByName(pairs).select("kind", C.given_back(F.col("text"), F.col("kind")).alias("whole"))
+    return whole.groupBy("kind").agg(F.count("*").alias("n_texts"), F.count_if(~F.col("whole")).alias("n_kept_whole"))
+
+
+def q_chunks_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of every document in order, white space aside: nothing is lost, doubled or moved by any chunker."""
+    c = C.chunk_documents(_docs(spark, d), "doc_id", "text", "kind")
+    whole = c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda x: x["content"]), "").alias("t"))
+    return whole.select("doc_id", content_checksum(F.regexp_replace("t", r"[\s\x1c-\x1f\x85\p{Z}]+", "")).alias("sha"))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -116,9 +127,8 @@ def q_chunk_checksum(spark: SparkSession, d: str) -> DataFrame:
 def q_gap_lines(spark: SparkSession, d: str) -> DataFrame:
     """Blank lines between a non-blank line and the next one; one pass over each document's own array."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("bigint").alias("pos"), is_blank(x).alias("blank"))), lambda x: ~x["blank"])
-    g = _docs(spark, d).select("doc_id", lines.alias("l")).select("doc_id", F.posexplode("l").alias("k", "x"), F.col("l").alias("all"))
-    following = F.get("all", F.col("k") + 1)
-    return g.select("doc_id", F.col("x.pos").alias("pos"), F.coalesce(following["pos"] - F.col("x.pos") - 1, F.lit(-1).cast("bigint")).alias("gap"))
+    gaps = lambda l: F.transform(l, lambda x, i: F.struct(x["pos"].alias("pos"), F.coalesce(F.get(l, i + 1)["pos"] - x["pos"] - 1, F.lit(-1).cast("bigint")).alias("gap")))  # noqa: E731, E741
+    return _docs(spark, d).select("doc_id", F.explode(F.flatten(F.transform(F.array(lines), gaps))).alias("x")).select("doc_id", "x.pos", "x.gap")
 
 
 def q_long_split(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +181,10 @@ _CELL = f"WITH c AS (SELECT DISTINCT pair_id, chunk_type, trim(coalesce(src_chec
 ORACLES = {
     "q_round_trip": "SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL",
     "q_typst_chunks_join": "SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_type = 'typst' AND regexp_matches(text, '[^\\s\\p{Z}]')",
+    "q_given_back": f"""SELECT kind, count(*) AS n_texts, 0::BIGINT AS n_kept_whole FROM (SELECT {_KIND} AS kind FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT kind FROM (SELECT DISTINCT pair_id, chunk_type AS kind FROM recovered_pairs WHERE src_text IS NOT NULL)) GROUP BY kind""",
+    "q_chunks_cover": f"""SELECT doc_id, sha256(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', '', 'g')) AS sha FROM documents
+WHERE {_KIND} IN ('latex', 'myst', 'typst') AND regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]')""",
     "q_inline_segments": _SEG + " SELECT doc_id, pos, kind, sha256(c) AS sha FROM g",
     "q_coalesce": _CO + " SELECT doc_id, pos, kind, sha256(c) AS sha FROM m",
     "q_ph_only": _SEG + r" SELECT s.doc_id, coalesce(bool_and(kind <> 'text'), true) AS ph_only, coalesce(bool_and(kind <> 'text' OR regexp_full_match(c, '[ \t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]*')), true) AS ph_only_blank FROM s LEFT JOIN g USING (doc_id) GROUP BY s.doc_id",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexitile.functions.keys import LANGUAGES, clean_key, content_checksum, parse_language
 from lexitile.operators import memory as M
@@ -143,8 +142,7 @@ def q_review_flag(spark: SparkSession, d: str) -> DataFrame:
 
 def q_first_target_meta(spark: SparkSession, d: str) -> DataFrame:
     """Existing-target metadata: the first cell of each source checksum in a file and language."""
-    w = Window.partitionBy("path", "tgt_lang", "src_checksum").orderBy("request_id")
-    return _requests(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select("request_id", "path", "tgt_lang", "src_checksum")
+    return M.first_cells(_requests(spark, d).select("request_id", "path", "tgt_lang", "src_checksum"), ["path", "tgt_lang", "src_checksum"], "request_id")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}

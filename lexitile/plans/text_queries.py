@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from lexitile.functions import text as X
 from lexitile.functions.keys import content_checksum, dir_suffix, document_type, is_blank, normalize_path, parse_language, path_checksum
+from lexitile.operators.translation import Ladder, Overloaded
+from lexitile.sources.files import copy_plan, stale_files
 from lexitile.sources.tables import table
 
 
@@ -35,13 +37,15 @@ def q_basename_match(spark: SparkSession, d: str) -> DataFrame:
 def q_untranslatable(spark: SparkSession, d: str) -> DataFrame:
     """Registered paths without any recovered pair."""
     used = table(spark, d, "recovered_pairs").select(F.lower(F.trim("path_checksum")).alias("k")).where("k is not null").distinct()
-    return _paths(spark, d).select(F.lower(F.trim("path_checksum")).alias("k")).distinct().join(used, "k", "left_anti")
+    known = _paths(spark, d).select(F.lower(F.trim("path_checksum")).alias("rel_path")).distinct()
+    return copy_plan(known, used.withColumnRenamed("k", "rel_path")).select(F.col("rel_path").alias("k"))
 
 
 def q_mirror_delete(spark: SparkSession, d: str) -> DataFrame:
     """Chunk keys of target languages whose path has no chunk in English."""
     s = table(spark, d, "chunk_store").select("lang", F.lower(F.trim("path_checksum")).alias("path")).where("path != ''")
-    return s.where("lang != 'English'").distinct().join(s.where("lang = 'English'").select("path").distinct(), "path", "left_anti").select("lang", "path")
+    s = s.withColumnRenamed("path", "rel_path").distinct()
+    return stale_files(s.where("lang != 'English'"), s.where("lang = 'English'")).select("lang", F.col("rel_path").alias("path"))
 
 
 def _vocabulary(spark: SparkSession, d: str, tgt: str = "french") -> DataFrame:
@@ -88,6 +92,16 @@ def q_byte_slice(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", content_checksum(X.byte_slice(F.col("content"), F.lit(0), n)).alias("sha"))
 
 
+def q_byte_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every chunk as the slice between its byte offsets."""
+    c = table(spark, d, "typst_chunks").where("content is not null").select("chunk_id", "content").dropDuplicates(["chunk_id"])
+    ends = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda acc, y: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(y) + 1)))
+    c = c.select("chunk_id", "content", F.split("content", "\n").alias("lines"))
+    line = c.select("chunk_id", "content", F.posexplode(F.slice(ends(F.col("lines")), 1, F.size("lines"))).alias("line", "start"), F.col("lines"))
+    line = line.select("chunk_id", F.col("line").cast("bigint").alias("line"), X.byte_slice(F.col("content"), F.col("start"), F.col("start") + F.octet_length(F.get("lines", F.col("line")))).alias("slice"))
+    return line.select("chunk_id", "line", content_checksum(F.col("slice")).alias("sha"))
+
+
 def q_languages(spark: SparkSession, d: str) -> DataFrame:
     """Labels parsed as languages, with directory suffix and blank labels."""
     p = table(spark, d, "recovered_pairs").select("pair_id", "tgt_lang").dropDuplicates(["pair_id"])
@@ -96,8 +110,18 @@ def q_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_backoff(spark: SparkSession, d: str) -> DataFrame:
-    """Waiting times before each further attempt."""
-    return spark.range(4).select(F.col("id").alias("attempt"), F.least(F.pow(F.lit(2.0), F.col("id")), F.lit(16.0)).cast("bigint").alias("seconds"))
+    """Waiting times before each further attempt, as a ladder with an ever overloaded model takes them."""
+    waits: list[float] = []
+
+    def overloaded(_: str) -> str:
+        raise Overloaded
+
+    ladder = Ladder(overloaded, sleep=waits.append)
+    try:
+        ladder.patient(overloaded, "")
+    except Overloaded:
+        pass
+    return spark.createDataFrame([(n, int(w)) for n, w in enumerate(waits)], "attempt long, seconds long")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -122,6 +146,7 @@ SELECT pair_id, sha256(CASE WHEN i = 0 THEN '' WHEN strpos(rest, '</document>')
     "q_prefix_lines": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, sha256(array_to_string(list_transform(x, lambda y: CASE WHEN regexp_full_match(y, '[ \t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]*') THEN y ELSE '> ' || y END), chr(10))) AS sha FROM l""",
     "q_byte_slice": "SELECT DISTINCT chunk_id, sha256(substr(content, 1, 40)) AS sha FROM typst_chunks WHERE content IS NOT NULL",
+    "q_byte_slices": "WITH l AS (SELECT chunk_id, string_split(content, chr(10)) AS x FROM (SELECT DISTINCT chunk_id, content FROM typst_chunks WHERE content IS NOT NULL)) SELECT chunk_id, (generate_subscripts(x, 1) - 1)::BIGINT AS line, sha256(unnest(x)) AS sha FROM l",
     "q_languages": r"""WITH p AS (SELECT DISTINCT pair_id, tgt_lang FROM recovered_pairs), l AS (SELECT *, CASE lower(tgt_lang) WHEN 'english' THEN 'English' WHEN 'french' THEN 'French' WHEN 'german' THEN 'German' WHEN 'spanish' THEN 'Spanish' WHEN 'ukrainian' THEN 'Ukrainian' WHEN 'armenian' THEN 'Armenian' END AS lang FROM p)
 SELECT lang, CASE lang WHEN 'English' THEN '_en' WHEN 'French' THEN '_fr' WHEN 'German' THEN '_de' WHEN 'Spanish' THEN '_es' WHEN 'Ukrainian' THEN '_ua' WHEN 'Armenian' THEN '_hy' END AS suffix, coalesce(regexp_full_match(tgt_lang, '[ \t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]*'), true) AS blank, count(*) AS n FROM l GROUP BY ALL""",
     "q_backoff": "SELECT range AS attempt, least(pow(2, range), 16)::BIGINT AS seconds FROM range(4)",

@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexitile.functions.keys import document_type
 
@@ -90,11 +91,18 @@ def fill_notebook(content: str, sources: list[str | None], flags: list[str]) ->
 
 
 def read_correspondence(spark: SparkSession, path: str) -> DataFrame:
-    """Wide correspondence CSV with ``row_id`` in file order; the path column is added if the file lacks it."""
+    """Wide correspondence CSV with ``row_id`` in the order of the part files' names and of the rows in each; the path column is added if the file lacks it.
+
+    With quoted line ends a file is one split, so the number within a partition keeps the order of its rows.
+    """
     df = spark.read.option("header", "true").option("multiLine", "true").csv(path)
     if "path_checksum" not in df.columns:
         df = df.withColumn("path_checksum", F.lit(""))
-    return df.fillna("").withColumn("row_id", F.monotonically_increasing_id())
+    df = df.fillna("").withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    files = df.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    starts = files.select("file", "first", before.alias("before"))
+    return df.join(starts, "file").withColumn("row_id", F.col("before") + F.col("at") - F.col("first")).drop("file", "at", "first", "before")
 
 
 def write_correspondence(wide: DataFrame, path: str) -> None:

@@ -163,6 +163,26 @@ def test_file_sources(spark, tmp_path):
     assert [r[0] for r in stale_files(tree("a", "z"), tree("a")).collect()] == ["z"]
 
 
+def test_correspondence_rows_are_numbered_in_file_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.csv").write_text("path_checksum,english\n" + "".join(f'p{k},"cell {k}\nof {i}"\n' for i in range(4)), encoding="utf-8")
+    got = sorted((r.row_id, r.english) for r in read_correspondence(spark, str(tmp_path)).collect())
+    assert got == [(4 * k + i, f"cell {k}\nof {i}") for k in range(3) for i in range(4)]
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lexitile.sources.tables import ensure_checkpoint_dir
+
+    held = []
+    sc = lambda master, folder: SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {"spark.checkpoint.dir": folder}, master=master, setCheckpointDir=held.append)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc("spark://host:7077", None)))
+    ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc("spark://host:7077", "shared/folder")))
+    assert held == ["shared/folder"]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from lexitile.streaming.feeds import first_deliveries, memory_updates, tumbling_counts
 
