@@ -2,8 +2,8 @@
 
 A sparse multinomial logistic regression on TF-IDF weighted character n-grams of words, fitted with
 follow-the-regularised-leader (FTRL-proximal) under elastic-net penalties and calibrated by one temperature on held-out
-samples. It is fitted on the driver from the reference texts of known language, at most ``MAX_SAMPLES`` rows (the table
-is fixed at 240). Features are normalised by the number of n-grams of a sentence, so the score of a sentence is the sum
+samples. It is fitted on the driver from labelled text, at most ``MAX_SAMPLES`` rows: the reference texts of known language (the table
+is fixed at 240), source texts, and the first-person sentences of ``refusals``, which neither of the two has. Features are normalised by the number of n-grams of a sentence, so the score of a sentence is the sum
 of its words' scores: each distinct word is scored once a task.
 
 Defined cases: texts without a sentence of prose (NULL, empty, blank, markup, code, math, numbers, names) have no
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexitile.llm.refusals import labelled_sentences
 from lexitile.llm.texts import prose_sentences
 from lexitile.sources.tables import spread
 
@@ -39,15 +40,8 @@ LABELS = {
     "spanish": "Spanish", "es": "Spanish", "ukrainian": "Ukrainian", "ua": "Ukrainian", "armenian": "Armenian", "hy": "Armenian",
 }
 
-#: Everyday words and phrases of each language, which the reference texts hardly contain.
-COMMON = {
-    "English": "i am you are he is she has we were they have been this that these those which who what when where why how not no yes please thank sorry apologize unfortunately cannot can't won't don't unable decline must should would could will may might to of in on at by for with without from into about because since before after until through between other another different more less some any all each every nothing something anything else here there need help send text request passage context content permission guidelines rules forbid language translate translation translator human provide process rewrite protected beyond handle put part do it its your my",
-    "French": "je suis tu es il est elle a nous sommes vous êtes ils ont été ce cette ces ceux qui que quoi quand où pourquoi comment ne pas non oui merci désolé excusez malheureusement peux peut pouvons doit devons serait pourrait vais du de des dans sur à par pour avec sans depuis vers car parce avant après entre autre autres différent plus moins quelque tout tous chaque rien ici là besoin aider envoyer texte demande passage contexte contenu autorisé règles consignes interdisent langue traduire traduction traducteur humain fournir traiter protégé impossible mesure confier mieux vaut tant ici la le les un une et ou mais donc alors son sa ses mon ma mes votre",
-    "German": "ich bin du bist er ist sie hat wir sind ihr seid haben worden dieser diese dieses jene welche wer was wann wo warum wie nicht nein ja bitte danke entschuldigung leider tut mir leid kann können darf dürfen soll sollte muss würde könnte werde von in auf an bei für mit ohne aus nach über weil denn bevor bis durch zwischen andere anderen verschieden mehr weniger einige alle jeder nichts etwas hier dort brauchen helfen senden text anfrage abschnitt zusammenhang inhalt erlaubt vorgaben regeln verbieten sprache übersetzen übersetzung übersetzer mensch geben verarbeiten geschützt lage ablehnen fehlt stelle der die das ein eine einen dem den und oder aber also sein seine mein meine",
-    "Spanish": "yo soy tú eres él es ella ha nosotros somos ustedes están han sido este esta estos aquellos quien que qué cuándo dónde por qué cómo no sí gracias siento disculpe perdón lamentablemente puedo puede podemos debe debería podría voy del de en sobre a con sin desde hacia porque antes después entre otro otra diferente más menos algún todo todos cada nada aquí allí necesita ayudar enviar envíe texto petición pasaje contexto contenido autorizado normas reglas impiden idioma traducir traducción traductor persona ofrecer procesar protegido posible conviene traduzca parte pasar la el los las un una y o pero entonces su sus mi mis lo al",
-    "Ukrainian": "я є ти він вона має ми вони були цей ця ці той який хто що коли де чому як не ні так будь ласка дякую вибачте перепрошую на жаль можу може можемо мушу повинен міг би буду з в у на до від для без через про тому бо перед після між інший інше різний більше менше деякі усі кожен нічого щось тут там потрібно допомогти надіслати надішліть текст запит уривок контекст вміст дозвіл правила забороняють мова перекласти переклад перекладач людина людині надати обробка захищений краще довірити відмовитися додаткового й та або але отже його її мій мої",
-    "Armenian": "ես եմ դու ես նա է ունի մենք ենք նրանք էին այս այն այդ որ ով ինչ երբ որտեղ ինչու ինչպես չէ ոչ այո խնդրում եմ շնորհակալություն ներողություն կներեք ցավոք կարող չեմ կարող ենք պետք է ի վիճակի ստիպված եմ հրաժարվել մեջ վրա համար հետ առանց մինչև հետո միջև ուրիշ այլ տարբեր ավելի պակաս բոլոր յուրաքանչյուր ոչինչ այստեղ այնտեղ օգնել օգնելու ուղարկել տեքստ տեքստից հարցում հատված հատվածը բովանդակությունը թույլտվություն կանոններ լեզու թարգմանել թարգմանություն թարգմանիչ մարդը պաշտպանված քանի և կամ բայց ապա նրա իմ",
-}
+#: Words of the pieces of held-out sentences that the temperature is calibrated on besides the whole ones.
+PIECE = 2
 
 #: Labelled source texts added to the reference texts, taken in the order of a hash of the text.
 SOURCE_SAMPLES = 800
@@ -108,22 +102,25 @@ class LanguageModel:
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.0005, held_out: float = 0.2) -> LanguageModel:
-    """Fit on ``(language, text)``; every fifth sample calibrates the temperature."""
+    """Fit on ``(language, text)``; every fifth sample calibrates the temperature, by its sentences and by pieces of them, since short texts are where doubt is."""
     if len(samples) > MAX_SAMPLES:
         raise ValueError(f"at most {MAX_SAMPLES} labelled samples")
     rows = [(lang, sent, i % round(1 / held_out) == 0) for i, (lang, text) in enumerate(samples) for sent in prose_sentences(text)]
-    for lang in sorted({r[0] for r in rows} & set(COMMON) or set(COMMON)):  # without samples the common words are all there is
-        words = COMMON[lang].split()
-        rows += [(lang, words[i : i + 8], False) for i in range(0, len(words), 4)]
+    rows += [(lang, sent[k : k + PIECE], True) for lang, sent, out in rows if out for k in range(0, len(sent) - 1, PIECE)]
+    named = {r[0] for r in rows}
+    # Without samples these sentences are all there is.
+    rows += [(lang, sent, False) for lang, text in labelled_sentences() if lang in named or not named for sent in prose_sentences(text)]
     langs = sorted({r[0] for r in rows})
     bags = [Counter(g for w in s for g in grams(w)) for _, s, _ in rows]
-    df = Counter(g for b in bags for g in b)
+    learned = [b for b, r in zip(bags, rows) if not r[2]] or bags
+    df = Counter(g for b in learned for g in b)
     vocab = {g: i for i, g in enumerate(sorted(df))}
-    idf = np.array([math.log((1 + len(bags)) / (1 + df[g])) + 1 for g in sorted(df)])
+    idf = np.array([math.log((1 + len(learned)) / (1 + df[g])) + 1 for g in sorted(df)])
     data = []
     for (lang, _, out), b in zip(rows, bags):
-        ix = np.array([vocab[g] for g in b])
-        data.append((langs.index(lang), ix, np.array(list(b.values())) * idf[ix] / sum(b.values()), out))
+        known = [g for g in b if g in vocab]
+        ix = np.array([vocab[g] for g in known], dtype=np.int64)
+        data.append((langs.index(lang), ix, np.array([b[g] for g in known]) * idf[ix] / sum(b.values()), out))
     k = len(langs)
     z, n = np.zeros((len(vocab), k)), np.zeros((len(vocab), k))
     zb, nb = np.zeros(k), np.zeros(k)
@@ -212,6 +209,8 @@ def sentence_languages(model: LanguageModel, texts: list[list[list[str]]]) -> tu
 def segment_languages(rows: DataFrame, model: LanguageModel, id_col: str, text_col: str, label_col: str | None = None, only_doubtful: bool = False) -> DataFrame:
     """``id_col, seg_no, lang, confidence, n_sentences``: the maximal runs of sentences in one language.
 
+    The confidence is the mean of the sentences' calibrated probabilities of that language.
+
     With ``only_doubtful``, only texts whose label is missing or not the language of all sentences. The scan and the
     scoring are one narrow stage; only result rows are shuffled, to drop rows delivered twice.
     """
@@ -230,13 +229,13 @@ def segment_languages(rows: DataFrame, model: LanguageModel, id_col: str, text_c
                 if langs and not (only_doubtful and label is not None and all(model.langs[x] == label for x in langs)):
                     starts = [i for i in range(len(langs)) if i == 0 or langs[i] != langs[i - 1]]
                     for no, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(langs)])):
-                        parts.append(sums[at + lo : at + hi].sum(axis=0))
+                        parts.append((at + lo, at + hi))
                         for col, v in zip(res, (key, no, langs[lo], 0.0, hi - lo)):
                             col.append(v)
                 at += len(langs)
             if parts:
-                p = model.probabilities(np.array(parts))
-                conf = p[np.arange(len(parts)), res[2]]
+                p = model.probabilities(sums)
+                conf = np.array([p[lo:hi, x].mean() for (lo, hi), x in zip(parts, res[2])])
                 yield pa.RecordBatch.from_arrays([pa.array(res[0], b.column(0).type), pa.array(res[1], pa.int64()), pa.array([model.langs[x] for x in res[2]]), pa.array(np.round(conf, 6)), pa.array(res[4], pa.int64())], names=out.names)
 
     label = label_column(F.col(label_col)) if label_col else F.lit(None).cast("string")

@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import random
 
+from lexitile.llm.texts import prose_sentences
+
 #: Parts of refusals by language: openings, how one declines, what is declined, endings. '|' parts alternatives.
 REFUSING = {
     "English": (
@@ -82,6 +84,18 @@ CLEAR = 0.25
 STEM = 4
 
 
+def labelled_sentences() -> list[tuple[str, str]]:
+    """``(language, text)`` of all the parts, each in a sentence of its own: every way of speaking with a start, an object and an end in turn."""
+    out = []
+    for source in (REFUSING, ORDINARY, OTHERS):
+        for lang, parts in source.items():
+            start, way, what, end = ["", *parts, ""] if source is OTHERS else [*parts, *[""] * (4 - len(parts))]
+            start, way, what, end = (x.split("|") for x in (start, way, what.replace("§", ""), end))
+            n = max(map(len, (start, way, what, end)))
+            out += [(lang, f"{start[k % len(start)]} {way[k % len(way)].replace('{}', what[k % len(what)])} {end[k % len(end)]}".strip()) for k in range(n)]
+    return out
+
+
 def features(words: list[str]) -> list[str]:
     low = [w.lower() for w in words]
     return [*low, *(f"{a} {b}" for a, b in zip(["", *low], [*low, ""])), *(f"{w[:STEM]}*" for w in low if len(w) > STEM)]
@@ -130,8 +144,6 @@ def composed(rng: random.Random, content: list[tuple[str, list[str]]]) -> list[t
 
 def fit_refusals(content: list[tuple[str, list[str]]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> RefusalModel:
     """Fit on composed samples and at most ``MAX_SOURCES`` content sentences ``(language, words)``."""
-    from lexitile.llm.texts import prose_sentences
-
     rng, content = random.Random(11), content[:MAX_SOURCES]
     data = [(y, s) for y, text in composed(rng, content) for s in prose_sentences(text)] + [(0, s) for _, s in content]
     z: dict[str, float] = {}

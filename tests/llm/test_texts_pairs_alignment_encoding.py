@@ -313,3 +313,20 @@ def test_alignment_of_long_segments_of_a_large_vocabulary(spark):
         got.setdefault(r.file_pair_id, set()).add((r.src_line, r.tgt_line))
     assert all(got[k] == {(i, (i - 1) % 6) for i in range(6)} for k in range(5))
     assert all(got[k] == {(i, i) for i in range(6)} for k in range(5, 120))
+
+
+def test_confidence_is_calibrated_on_held_out_sentences(samples):
+    """The mean probability of the chosen language is close to the share of right choices, for whole sentences and for short ones."""
+    m = fit([s for i, s in enumerate(samples) if i % 4])
+    whole = [(lang, s) for i, (lang, t) in enumerate(samples) if not i % 4 for s in prose_sentences(t)]
+    for rows in (whole, [(lang, s[k : k + 2]) for lang, s in whole for k in range(0, len(s) - 1, 2)]):
+        p = m.probabilities(m.sums([s for _, s in rows]))
+        right = sum(m.langs[k] == lang for k, (lang, _) in zip(p.argmax(axis=1), rows)) / len(rows)
+        assert abs(p.max(axis=1).mean() - right) < 0.06
+
+
+def test_confidence_of_a_run_is_the_mean_of_its_sentences(spark, model):
+    t = "Das Modell begrenzt die Schicht. Der Baum zeigt das Netz. Ja nun."
+    r = segment_languages(spark.createDataFrame([(1, t)], "pair_id long, tgt_text string"), model, "pair_id", "tgt_text").collect()
+    p = model.probabilities(model.sums(prose_sentences(t)))[:, model.langs.index("German")]
+    assert len(r) == 1 and r[0].n_sentences == len(p) and r[0].confidence == pytest.approx(p.mean(), abs=1e-5)
