@@ -21,7 +21,10 @@ SECTION_LIMIT = 2000
 
 FENCE = re.compile(r"^([ \t]*)(`{3,}|~{3,}|:{3,})[ \t]*(?:\{([\w:.-]+)\})?([^\n`]*)$")
 HEADING = re.compile(r"^([ \t]{0,3}#{1,6})([ \t]+|$)(.*?)([ \t]+#+)?[ \t]*$")
-MARKER = re.compile(r"^([ \t]*(?:[-+*]|\d{1,9}[.)])(?:[ \t]+|$))(\[[ xX]\][ \t]+)?")
+#: List items, definitions, footnotes.
+MARKER = re.compile(r"^([ \t]*(?:[-+*]|\d{1,9}[.)]|:|\[\^[^\]\s]+\]:)(?:[ \t]+|$))(\[[ xX]\][ \t]+)?")
+ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$")
+PIPE = re.compile(r"[ \t]*(?<!\\)\|[ \t]*")
 QUOTE = re.compile(r"^([ \t]*(?:>[ \t]?)+)")
 OPAQUE = re.compile(r"^[ \t]*(?:%.*|\([\w:. -]+\)=[ \t]*|\+\+\+.*|(?:[-*_][ \t]*){3,}|={2,}[ \t]*|-{2,}[ \t]*|:[\w-]+:.*|\|?[ \t]*:?-{3,}.*\|.*|\{[#.][^}]*\}[ \t]*)$")
 OPTION = re.compile(r"^([ \t]*:([\w-]+):[ \t]*)(.*)$")
@@ -178,8 +181,13 @@ def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> G
                 out += inline(held)
                 held = ""
                 out.append(("placeholder", prefix))
+            if not held and ROW.match(body):
+                cells(body, out)
+                out.append(("placeholder", end))
+                k += 1
+                continue
             held += body
-            more = k + 1 < b and bare[k + 1].strip() and not MARKER.match(bare[k + 1]) and not QUOTE.match(bare[k + 1]) and bare[k + 1][:1] not in " \t" and not FENCE.match(bare[k + 1]) and not OPAQUE.match(bare[k + 1]) and not HTML.match(bare[k + 1])
+            more = k + 1 < b and bare[k + 1].strip() and not MARKER.match(bare[k + 1]) and not QUOTE.match(bare[k + 1]) and bare[k + 1][:1] not in " \t" and not FENCE.match(bare[k + 1]) and not OPAQUE.match(bare[k + 1]) and not HTML.match(bare[k + 1]) and not ROW.match(bare[k + 1])
             if more and not prefix:
                 held += end
             else:
@@ -190,6 +198,16 @@ def prose(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> G
     out += inline(held)
 
 
+def cells(row: str, out: Segments) -> None:
+    """The cells of a table row, each by itself; what parts them is kept."""
+    at = 0
+    for m in PIPE.finditer(row):
+        out += inline(row[at : m.start()])
+        out.append(("placeholder", m.group()))
+        at = m.end()
+    out += inline(row[at:])
+
+
 def fence(lines: list[str], bare: list[str], a: int, b: int, out: Segments) -> Generator:
     f = FENCE.match(bare[a])
     name = f.group(3)

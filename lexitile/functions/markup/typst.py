@@ -6,6 +6,7 @@ import re
 from collections.abc import Generator
 
 from lexitile.functions.markup.stack import run
+from lexitile.functions.packing import packed
 
 #: Named string arguments that are prose or never are, math functions that hold text, limits.
 PROSE_ARGS = {"caption", "description", "info", "subtitle", "summary", "title"}
@@ -316,14 +317,6 @@ def chunk_typst(text: str) -> list[dict]:
         if p[0] == "heading" or not sections:
             sections.append([])
         sections[-1].append(p)
-    out = []
-    for sec in sections:
-        held = ""
-        whole = sum(len(c) for _, c in sec)
-        for _, c in sec:
-            if held and whole > SECTION_LIMIT and len(held) + len(c) > SECTION_LIMIT:
-                out.append(held)
-                held = ""
-            held += c
-        out.append(held)
+    texts = [[c for _, c in sec] for sec in sections]
+    out = ["".join(t[x]) for t in texts for x in packed([len(c) for c in t], SECTION_LIMIT)]
     return [{"kind": "typst", "content": c} for c in out if c]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexitile.functions.markup import checked, chunk, segment
+from lexitile.functions.packing import packed
 from lexitile.functions.units import build, placeholder_only, reconstruct
 
 SEGMENT = "array<struct<kind:string,content:string>>"
@@ -107,13 +108,7 @@ def greedy_pack(lengths: Column, limit: int) -> Column:
 
 
 def packs(sizes: list[int], limit: int) -> list[int]:
-    out, held = [], 0
-    for n in sizes:
-        if held and held + n > limit:
-            out.append(held)
-            held = 0
-        held += n
-    return [*out, held] if held else out
+    return [n for n in (sum(sizes[x]) for x in packed(sizes, limit)) if n]
 
 
 def split_long(text: Column, limit: int) -> Column:

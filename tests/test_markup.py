@@ -166,3 +166,10 @@ def test_nested_directives():
 
 def test_unknown_kinds_are_one_placeholder():
     assert checked("a", "other") == ([("placeholder", "a")], True) and checked(None, "latex") == ([], True)
+
+
+def test_myst_tables_definitions_and_footnotes():
+    """Every cell, definition and footnote is a text by itself; pipes, colons and labels are kept."""
+    s = "| Port | Depth `m` |\n| :--- | ---: |\n| North pier | 4 \\| 5 |\n\nEbb\n: water *falls*\n\n[^tide]: see the table\n"
+    got = [c for k, c in segment(s, "myst") if k == "text"]
+    assert got == ["Port", "Depth ", "North pier", "4 ", " 5", "Ebb", "water ", "falls", "see the table"]
