@@ -169,3 +169,36 @@ def test_fuzzy_queries_meet_each_other_and_never_their_own_row(spark, tmp_path):
     best = {k: max(SequenceMatcher(None, u, t).ratio() for j, u in texts.items() if j != k and u) for k, t in asked.items()}
     assert {r.query_id: r.score for r in QUERIES["q_fuzzy_best"](spark, str(tmp_path)).collect()} == pytest.approx(best) and best[200] == 1 and best[100] > 0.9
     assert min(best.values()) < 0.7 and {r.query_id: r.score for r in QUERIES["q_fuzzy_lang"](spark, str(tmp_path)).collect()} == pytest.approx(best)
+
+
+def test_validity_equals_brute_force_with_a_hot_key(spark):
+    """Random intervals of few keys, one of them in a third of all rows, with times on their borders, without a time and at midnight."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(9), datetime(2024, 1, 1)
+    at = lambda: start + timedelta(hours=rng.choice([0, 6, 12, 24]) + 24 * rng.randint(0, 40))
+    key = lambda: rng.choice(["hot", rng.choice("abcde"), rng.choice("abcdefg")])
+    spans = [(key(), s, rng.choice([None, s, s + timedelta(hours=6 * rng.randint(1, 30))])) for s in (at() for _ in range(60))] + [("x", None, None), (None, at(), None), ("y", at(), start)]
+    refs = [(n, rng.choice([key(), key(), "x", "y", "none", " HOT "]), None if rng.random() < 0.03 else at()) for n in range(600)] + [(700, None, at()), (701, " ", at())]
+    parent = spark.createDataFrame(spans, "k string, s timestamp_ntz, e timestamp_ntz")
+    child = spark.createDataFrame(refs + refs[:50], "id long, ref string, t timestamp_ntz").withColumn("key", F.lit("clash"))
+    fk = [ForeignKey("child", "id", "t", "ref", "parent", "k", "s", "e")]
+
+    def reason(ref, t):
+        own = [(s, e or datetime(9999, 1, 1)) for k, s, e in spans if k == ref.strip().lower()]
+        if not own:
+            return "missing"
+        if t is None or any(s is not None and s <= t < e for s, e in own):
+            return None
+        return "late" if any(s is not None and s > t and s < e for s, e in own) else "deleted"
+
+    want = sorted((n, r) for n, ref, t in refs if ref and ref.strip() and (r := reason(ref, t)))
+    assert sorted((r.row_key, r.reason) for r in direct_orphans({"child": child, "parent": parent}, fk).collect()) == want
+
+
+def test_cascade_walks_chains_and_ends_on_cycles(spark):
+    rows = [(1, "a", "gone"), (2, "b", "a"), (3, "c", "b"), (4, "d", "d"), (5, "e", "f"), (6, "f", "e"), (7, "g", "gone"), (8, "g", "d"), (9, "h", "g"), (10, None, "c"), (11, "i", None)]
+    node = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "id long, k string, ref string, day string").withColumn("at", F.col("day").cast("timestamp_ntz")).withColumn("until", F.lit(None).cast("timestamp_ntz"))
+    got = cascade({"node": node}, [ForeignKey("node", "id", "at", "ref", "node", "k", "at", "until")], {"node": ("id", "k")})
+    assert sorted((r.row_key, r.level) for r in got.collect()) == [(1, 0), (2, 1), (3, 2), (7, 0), (10, 3)]
