@@ -12,12 +12,12 @@ MARKUP = re.compile(
     r"```.*?(?:```|\Z)"
     r"|\\begin\{(verbatim|lstlisting|minted|align|equation|gather|multline|math|displaymath)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)"
     r"|\$\$.*?(?:\$\$|\Z)|\\\[.*?\\\]|\\\(.*?\\\)"
-    r"|\{[\w:-]+\}`[^`\n]*`|`[^`\n]*`|\$[^$\n]{0,200}\$"
+    r"|\{[\w:-]+\}`[^`\n]*`|`[^`\n]*`|\$[^$\n]*\$"
     r"|!\[[^\]\n]*\]\([^)\n]*\)"
     r"|https?://\S+"
     r"|\\(?:begin|end|label|cite|ref|eqref|autoref|includegraphics|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^}\n]*\}?"
     r"|^[ \t]*%[^\n]*|^[ \t]*//[^\n]*"
-    r"|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?[^\S\n]*|</?[A-Za-z][^<>\n]{0,80}(?:>|\Z)|\[@[^\]\n]*\]|@[\w:-]+"
+    r"|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?[^\S\n]*|</?[A-Za-z][^<>\n]*(?:>|\Z)|\[@[^\]\n]*\]|@[\w:-]+"
     r"|#(?:block|align|box|emph|strong|figure|quote)\b(?:\([^)\n]*\))?|#[a-z][\w.]*\([^)\n]*\)"
     r"|^[ \t]*(?:[-+*]|\d+[.)]|={1,6}|\#{1,6})[ \t]+|\\[A-Za-z]+\*?"
     r"|“[A-Za-z]*\d+”|[{}\[\]|#>~^_*]|\\(?![A-Za-z])",
@@ -60,7 +60,7 @@ def blank_sentences(blank: str) -> list[list[str]]:
 #: Marks around content: like MARKUP, but code and math between them count as content.
 MARKS = re.compile(
     r"```[\w-]*|\\(?:begin|end|label|noindent|item|section|subsection|caption)\*?(?:\[[^\]\n]*\])?(?:\{[\w:.*-]*\})?"
-    r"|^[ \t]*%[^\n]*|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?|</?[A-Za-z][^<>\n]{0,80}>"
+    r"|^[ \t]*%[^\n]*|\([\w:.-]*\d[\w:.-]*\)=|\{#[^}\n]*\}|^:{3,}(?:\{[^}\n]*\})?|</?[A-Za-z][^<>\n]*>"
     r"|#(?:block|align|box|emph|strong|figure|quote)\b(?:\([^)\n]*\))?|#h\([^)\n]*\)",
     re.M,
 )
