@@ -20,7 +20,7 @@ PROSE_ROLES = {"definiendum"}
 SECTION_LIMIT = 2000
 
 FENCE = re.compile(r"^([ \t]*)(`{3,}|~{3,}|:{3,})[ \t]*(?:\{([\w:.-]+)\})?([^\n`]*)$")
-HEADING = re.compile(r"^([ \t]{0,3}#{1,6})([ \t]+|$)(.*?)([ \t]+#+)?[ \t]*$")
+HEADING = re.compile(r"^([ \t]{0,3}#{1,6})([ \t]+|$)(.*?)([ \t]+(?:#+|\{[#.][^{}]*\}))?[ \t]*$")
 #: List items, definitions, footnotes.
 MARKER = re.compile(r"^([ \t]*(?:[-+*]|\d{1,9}[.)]|:|\[\^[^\]\s]+\]:)(?:[ \t]+|$))(\[[ xX]\][ \t]+)?")
 ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$")

@@ -173,3 +173,27 @@ def test_myst_tables_definitions_and_footnotes():
     s = "| Port | Depth `m` |\n| :--- | ---: |\n| North pier | 4 \\| 5 |\n\nEbb\n: water *falls*\n\n[^tide]: see the table\n"
     got = [c for k, c in segment(s, "myst") if k == "text"]
     assert got == ["Port", "Depth ", "North pier", "4 ", " 5", "Ebb", "water ", "falls", "see the table"]
+
+
+#: Fixed documents with the segments expected: t text, p placeholder, m math.
+EXPECTED = {
+    'latex': ('\\section{Tides \\& moons}\nThe \\emph{height} of $h_1$ is~\\cite[p.~3]{low} metres -- see \\url{http://a.b}.\n\\begin{itemize}\n\\item First % note\n\\end{itemize}\n', [('p', '\\section{'), ('t', 'Tides '), ('p', '\\&'), ('t', ' moons'), ('p', '}'), ('t', '\nThe '), ('p', '\\emph{'), ('t', 'height'), ('p', '}'), ('t', ' of '), ('p', '$'), ('p', 'h_1'), ('p', '$'), ('t', ' is'), ('p', '~'), ('p', '\\cite[p.~3]{low}'), ('t', ' metres '), ('p', '--'), ('t', ' see '), ('p', '\\url{http://a.b}'), ('t', '.\n'), ('p', '\\begin{itemize}'), ('p', '\n'), ('p', '\\item'), ('t', ' First '), ('p', '% '), ('t', 'note'), ('p', '\n'), ('p', '\\end{itemize}'), ('p', '\n')]),
+    'myst': ('# Tides {#sec}\n\nHigh *water* at `noon`, see [map](m.md) and\nlow water.[^a]\n\n- one $x$\n  two\n\n```python\nx = 1\n```\n', [('p', '# '), ('t', 'Tides'), ('p', ' {#sec}\n'), ('p', '\n'), ('t', 'High '), ('p', '*'), ('t', 'water'), ('p', '*'), ('t', ' at '), ('p', '`noon`'), ('t', ', see '), ('p', '['), ('t', 'map'), ('p', '](m.md)'), ('t', ' and\nlow water.'), ('p', '[^a]'), ('p', '\n'), ('p', '\n'), ('p', '- '), ('t', 'one '), ('m', '$x$'), ('p', '\n'), ('p', '  '), ('t', 'two'), ('p', '\n'), ('p', '\n'), ('p', '```python\nx = 1\n```\n')]),
+    'typst': ('= Tides\nHigh *water* at #link("u")[noon] and $x^2$.\n- item @ref\n#set text(lang: "en")\n/* aside */\n', [('p', '= '), ('t', 'Tides\nHigh '), ('p', '*'), ('t', 'water'), ('p', '*'), ('t', ' at '), ('p', '#link("u")['), ('t', 'noon'), ('p', ']'), ('t', ' and '), ('m', '$x^2$'), ('t', '.\n'), ('p', '- '), ('t', 'item '), ('p', '@ref'), ('t', '\n'), ('p', '#set text(lang: "en")'), ('t', '\n'), ('p', '/* '), ('t', 'aside'), ('p', ' */'), ('t', '\n')]),
+    'python': ('def f(x):  # low tide\n    return "high" + \'x\'\n', [('p', 'def f(x):  #'), ('t', ' low tide'), ('p', '\n    return "'), ('t', 'high'), ('p', '" + \''), ('t', 'x'), ('p', "'\n")]),
+    'java': ('// why\nString s = "one"; /* two */ int n = 3;\n', [('p', '//'), ('t', ' why'), ('p', '\nString s = "'), ('t', 'one'), ('p', '"; /*'), ('t', ' two '), ('p', '*/ int n = 3;\n')]),
+}
+
+
+@pytest.mark.parametrize("kind", EXPECTED)
+def test_segments_of_fixed_documents(kind):
+    """Kind, content and order of every segment."""
+    source, expected = EXPECTED[kind]
+    assert [(k[0], c) for k, c in segment(source, kind)] == expected
+
+
+def test_chunks_of_fixed_documents():
+    parts = lambda text, kind: [c["content"] for c in chunk(text, kind)]
+    assert parts("Intro.\n\n= One\n\nText one.\n\n#let a = 1\n\n= Two\n\n```py\ny = 2\n```\n", "typst") == ["Intro.\n\n", "= One\n\nText one.\n\n#let a = 1\n\n", "= Two\n\n```py\ny = 2\n```\n"]
+    assert parts("---\nt: 1\n---\n\nLead.\n\n# One\n\n- a\n\n  b\n\n:::{note}\n# no heading\n:::\n\n## Two\n", "myst") == ["---\nt: 1\n---\n\nLead.\n\n", "# One\n\n- a\n\n  b\n\n:::{note}\n# no heading\n:::\n\n", "## Two\n"]
+    assert parts("Before.\n\\section{A}\nOne \\textbf{bold}\n\n\nTwo.\n\\begin{proof}\nP.\n\n\\end{proof}\nAfter.", "latex") == ["Before.", "\\section{A}", "One \\textbf{bold}", "Two.", "\\begin{proof}\nP.\n\n\\end{proof}", "After."]
