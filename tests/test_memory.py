@@ -202,3 +202,32 @@ def test_cascade_walks_chains_and_ends_on_cycles(spark):
     node = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "id long, k string, ref string, day string").withColumn("at", F.col("day").cast("timestamp_ntz")).withColumn("until", F.lit(None).cast("timestamp_ntz"))
     got = cascade({"node": node}, [ForeignKey("node", "id", "at", "ref", "node", "k", "at", "until")], {"node": ("id", "k")})
     assert sorted((r.row_key, r.level) for r in got.collect()) == [(1, 0), (2, 1), (3, 2), (7, 0), (10, 3)]
+
+
+def test_fuzzy_long_queries_compare_few_texts_and_equal_brute_force(spark, monkeypatch):
+    """Beyond 200 characters the comparison seeds its blocks by rare characters alone; queries of several stored blocks get the same answers."""
+    import random
+    from difflib import SequenceMatcher
+
+    import lexitile.operators.fuzzy as Z
+
+    rng, words = random.Random(3), ["lens", "soil", "tree", "limits", "the", "quartz", "$x_{7}$", "jazz", "Orbit", "№ 5", "k9z"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(2, 80))) for _ in range(300)} | {"a b" * 200, "x" * 500})
+    sums = [str(k) for k in range(len(texts))]
+    asked = rng.sample([k for k, t in enumerate(texts) if len(t) >= 200], 12) + rng.sample(range(len(texts)), 8)
+    want = {k: max((SequenceMatcher(None, t, texts[k]).ratio(), -j) for j, t in enumerate(texts) if j != k)[0] for k in asked}
+    for k in asked:
+        m = SequenceMatcher(None, "", texts[k])
+        for t in texts[:40] if m.bpopular else ():
+            m.set_seq1(t)
+            assert 2.0 * Z.seeded_length(t, texts[k], m.b2j) / (len(t) + len(texts[k])) == m.ratio()
+    held = Z.Held([{"content": t, "sum": s, "only": s} for t, s in zip(texts, sums)])
+    seen = []
+    monkeypatch.setattr(Z, "seeded_length", lambda *x, f=Z.seeded_length: seen.append(1) or f(*x))
+    assert {k: held.best(texts[k], str(k), (0.0, ""))[0] for k in asked} == want
+    assert len(seen) < sum(len(texts[k]) >= 200 for k in asked) * len(texts) / 3
+    monkeypatch.undo()
+    monkeypatch.setattr(Z, "STORED_BLOCK", 40)
+    stored = spark.createDataFrame([(k, "e", t) for k, t in enumerate(texts)], "id long, lang string, content string")
+    got = best_matches(stored.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id"), stored, ["lang"], gate=0.0, own="id").collect()
+    assert {r.query_id: r.score for r in got} == want
