@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from lexitile.sources.tables import ensure_checkpoint_dir
 
 #: Queries and stored texts in a block, on average.
-BLOCK, STORED_BLOCK = 1024, 4096
+BLOCK, STORED_BLOCK = 1024, 8192
 #: Candidates that are compared first, for a best score that the others have to reach; characters after which those that can't are dropped.
 FIRST, STEPS = 64, 32
 #: Bits of a word that hold places of a query; the highest one takes the carry. Texts a word from which arrays are quicker than integers.
-BITS, ROWS = 63, 16
+BITS, ROWS = 63, 48
 END = 0xFFFFFFFF
 
 
@@ -40,8 +40,8 @@ def common_length(places: dict[str, int], n: int, other: str) -> int:
     v = full
     for c in other:
         u = v & places.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return n - v.bit_count()
+        v = (v + u) | (v - u)
+    return n - (v & full).bit_count()
 
 
 def matched(m: SequenceMatcher, a: str, b: str, bound: int, need: float) -> int | None:
@@ -55,8 +55,8 @@ def matched(m: SequenceMatcher, a: str, b: str, bound: int, need: float) -> int
         i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
         bound += k - most
         for piece in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k else ():
-            x, y = a[piece[0] : piece[1]], b[piece[2] : piece[3]]
-            if x and y and (n := common_length(bits(y), len(y), x)):
+            x, y = sorted((a[piece[0] : piece[1]], b[piece[2] : piece[3]]), key=len)
+            if x and (n := common_length(bits(y), len(y), x)):
                 bound += n
                 rest.append((n, *piece))
         if 2.0 * bound / size < need:
@@ -174,8 +174,8 @@ class Held:
     def common(self, text: str, which: np.ndarray, bound: np.ndarray, top: float, kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Upper bounds of the lengths of common subsequences of a text and the stored texts ``which``, among the places kept.
 
-        Exact for texts that reach the score ``top``, but with ``kept`` ``bound`` stays for texts much longer than the others.
-        All texts go on by one character a step; those whose rest is too short are dropped.
+        Exact for texts that reach the score ``top``; with ``kept`` only as far as many are left. All texts go on by one character a
+        step, those whose rest is too short are dropped; few texts, and those much longer than the others, are taken one by one.
         """
         words, codes, starts, sizes, length = -(-len(text) // BITS), self.codes, self.starts, self.sizes, self.sizes + len(text)
         if kept:
@@ -183,10 +183,7 @@ class Held:
             starts = np.cumsum(sizes) - sizes
         out, size = bound[which].copy(), sizes[which]
         usual = np.flatnonzero(size <= 4 * np.median(size)) if len(which) > ROWS * words else np.zeros(0, dtype=np.int64)
-        if not kept:
-            places = bits(text)
-            for k in np.setdiff1d(np.arange(len(which)), usual).tolist():
-                out[k] = common_length(places, len(text), self.texts[which[k]])
+        singly = np.setdiff1d(np.arange(len(which)), usual)
         usual = usual[np.argsort(-size[usual], kind="stable")]
         size, full, carried = size[usual], np.uint64((1 << BITS) - 1), np.uint64(BITS)
         masks = np.zeros((words, len(self.counts)), dtype=np.uint64)
@@ -194,29 +191,38 @@ class Held:
             if c in self.at:
                 masks[j // BITS, self.at[c]] |= np.uint64(1 << j % BITS)
         v, mine, start, t = np.full((words, len(usual)), full), kept[0][:, which[usual]] if kept else None, starts[which[usual]], 0
+        spare = np.empty((3, len(usual)), dtype=np.uint64)
         while len(usual):
+            if len(usual) * int(size[0]) < ROWS // 2 * words * (int(size[0]) - t):  # few are left
+                singly = np.concatenate([singly, usual])
+                break
             steps = np.arange(t, min(t + STEPS, int(size[0])))
             for t, n in zip(steps.tolist(), np.searchsorted(-size, -steps).tolist()):
-                c, carry = codes[start[:n] + t], None
+                u, s, carry, c = spare[0, :n], spare[1, :n], spare[2, :n], codes.take(start[:n] + t, mode="clip")
                 for x in range(words):
                     old = v[x, :n]
-                    u = masks[x].take(c)
-                    u &= old
+                    masks[x].take(c, out=u, mode="clip")
+                    np.bitwise_and(u, old, out=u)
                     if kept:
-                        u &= mine[x, :n]
-                    s = old + u
-                    if carry is not None:
-                        s += carry
-                    carry = s >> carried
-                    s &= full
-                    old ^= u
-                    old |= s
+                        np.bitwise_and(u, mine[x, :n], out=u)
+                    np.add(old, u, out=s)
+                    if x:
+                        np.add(s, carry, out=s)
+                    if x < words - 1:
+                        np.right_shift(s, carried, out=carry)
+                    np.bitwise_xor(old, u, out=old)
+                    np.bitwise_or(old, s, out=old)
+                    np.bitwise_and(old, full, out=old)
             t = int(steps[-1]) + 1 if len(steps) else t
             most = words * BITS - np.bitwise_count(v).sum(axis=0, dtype=np.int64) + np.maximum(size - t, 0)
             out[usual] = most
             on = np.flatnonzero((size > t) & (2.0 * most / length[which[usual]] >= top))
             usual, size, start, v = usual[on], size[on], start[on], v[:, on]
             mine = mine[:, on] if kept else None
+        if not kept:
+            places = bits(text)
+            for k in singly.tolist():
+                out[k] = common_length(places, len(text), self.texts[which[k]])
         return out
 
     def best(self, text: str, own: str, top: tuple[float, str]) -> tuple[float, str]:
@@ -235,7 +241,7 @@ class Held:
             most = np.minimum(most, np.minimum(np.bitwise_count(kept[0]).sum(axis=0, dtype=np.int64), kept[2]))
             left = able(left)
         left = left[np.argsort(-(most[left] / length[left]), kind="stable")]
-        for which in (left[:FIRST], left[FIRST:]):
+        for which in (left,) if top[1] else (left[:FIRST], left[FIRST:]):
             which = able(which)
             if not len(which):
                 continue
