@@ -212,7 +212,7 @@ def test_fuzzy_long_queries_compare_few_texts_and_equal_brute_force(spark, monke
     import lexitile.operators.fuzzy as Z
 
     rng, words = random.Random(3), ["lens", "soil", "tree", "limits", "the", "quartz", "$x_{7}$", "jazz", "Orbit", "№ 5", "k9z"]
-    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(2, 80))) for _ in range(300)} | {"a b" * 200, "x" * 500})
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(2, 80))) for _ in range(900)} | {"a b" * 200, "x" * 500})
     sums = [str(k) for k in range(len(texts))]
     asked = rng.sample([k for k, t in enumerate(texts) if len(t) >= 200], 12) + rng.sample(range(len(texts)), 8)
     want = {k: max((SequenceMatcher(None, t, texts[k]).ratio(), -j) for j, t in enumerate(texts) if j != k)[0] for k in asked}
@@ -227,7 +227,7 @@ def test_fuzzy_long_queries_compare_few_texts_and_equal_brute_force(spark, monke
     assert {k: held.best(texts[k], str(k), (0.0, ""))[0] for k in asked} == want
     assert len(seen) < sum(len(texts[k]) >= 200 for k in asked) * len(texts) / 3
     monkeypatch.undo()
-    monkeypatch.setattr(Z, "STORED_BLOCK", 40)
+    monkeypatch.setattr(Z, "STORED_BLOCK", 200)
     stored = spark.createDataFrame([(k, "e", t) for k, t in enumerate(texts)], "id long, lang string, content string")
     got = best_matches(stored.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id"), stored, ["lang"], gate=0.0, own="id").collect()
     assert {r.query_id: r.score for r in got} == want
